@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from haulgrid.llm.bpe import bpe_round_trip
 from haulgrid.llm.common import table
 from haulgrid.llm.exact_dedup import exact_dedup
+from haulgrid.llm.nbsvm import fit_nbsvm, nbsvm_scores
+from haulgrid.llm.quality_rules import fit_quality_model, quality_rules
 from haulgrid.llm.simhash import simhash_components
 from haulgrid.llm.wavelet import wavelet_output
 
@@ -19,6 +21,16 @@ def op1_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns only from rows with crc32(doc_id as text) mod 4 other than 2."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = fit_nbsvm(docs, labels, "quality", max_rows=4000, where=~held_out)
+    out = nbsvm_scores(docs, model)
+    return out.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -34,8 +46,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, fit_quality_model(docs, table(spark, sf_dir, "labels"), "quality", max_rows=4000))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_output, op4_exact_dedup, op6_simhash, op7_bpe)
+    f.__name__: f for f in (op1_wavelet_output, op3_nbsvm, op4_exact_dedup, op6_simhash, op7_bpe, op8_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {
