@@ -8,16 +8,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from haulgrid.llm.common import texts
-from haulgrid.llm.ngrams import WordIds, calibrate, char_grams, collect_features, labelled_sample, sigmoid, word_grams
+from haulgrid.llm.ngrams import WordIds, calibrate, char_grams, collect_features, labelled_sample, shape_grams, sigmoid, word_grams
 
 BITS = 18
 _STATE: dict = {}
 
 
 def indicators(text: str) -> np.ndarray:
-    """Distinct buckets of a whole text's word and character n-grams.
+    """Distinct buckets of a whole text's n-grams: of words, of word shapes and of characters.
 
-    Words take the lower half of the buckets, characters the upper. Repeats go by writing each
+    Words take the lower half of the buckets, shapes and characters a quarter each. Repeats go by writing each
     position to its bucket and keeping those that read themselves back: no sort.
     """
     if not _STATE:
@@ -25,8 +25,9 @@ def indicators(text: str) -> np.ndarray:
     ids, seen = _STATE["ids"], _STATE["seen"]
     own = ids.of(text.encode("utf-8").split())
     half = 1 << (BITS - 1)
-    parts = [char_grams(text, BITS - 1, (1, 2, 3, 4)) + np.uint32(half)]
+    parts = [char_grams(text, BITS - 2, (1, 2)) + np.uint32(half)]
     if len(own):
+        parts.append(shape_grams(own, ids.shapes, BITS - 2) + np.uint32(half + half // 2))
         parts.append(word_grams(ids.hashes[own], BITS - 1))
     at = np.concatenate(parts)
     place = np.arange(len(at), dtype=np.int32)

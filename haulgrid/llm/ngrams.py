@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -13,18 +15,31 @@ from haulgrid.llm.common import texts
 _MULT = np.uint32(0x9E3779B1)
 
 
+_RUN = re.compile(r"(.)\1+", re.S)
+SAME = 12345  # what a repeated word becomes
+
+
+def shape(word: bytes) -> bytes:
+    """A word with letters as A or a, digits as 0, other characters kept, and runs collapsed."""
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word.decode("utf-8"))
+    return _RUN.sub(r"\1", kinds).encode("utf-8")
+
+
 class WordIds(dict):
-    """Exact small ids of words (bytes) and a 32-bit hash of each; emptied between texts once
+    """Exact small ids of words (bytes), a 32-bit hash of each and one of its shape; emptied between texts once
     it holds ``limit`` words, so memory is bounded by the limit and the longest text."""
 
     def __init__(self, limit: int = 500_000):
-        self.limit, self.hashes = limit, np.zeros(1024, np.uint32)
+        self.limit = limit
+        self.hashes, self.shapes = np.zeros(1024, np.uint32), np.zeros(1024, np.uint32)
 
     def __missing__(self, word: bytes) -> int:
         k = self[word] = len(self)
         if k == len(self.hashes):
             self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)))
+            self.shapes = np.concatenate((self.shapes, np.zeros_like(self.shapes)))
         self.hashes[k] = xxhash.xxh32_intdigest(word)
+        self.shapes[k] = xxhash.xxh32_intdigest(shape(word))
         return k
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -38,10 +53,20 @@ def word_grams(hashes: np.ndarray, bits: int) -> np.ndarray:
     same bigram whatever the word is, so stuttering is one feature, not one for each word."""
     shift = np.uint32(32 - bits)
     two = hashes[:-1] * np.uint32(0x85EBCA77) + hashes[1:] * np.uint32(0xC2B2AE3D) + np.uint32(1)
-    two[hashes[:-1] == hashes[1:]] = 12345
+    two[hashes[:-1] == hashes[1:]] = SAME
     return np.concatenate((hashes * _MULT, two * _MULT)) >> shift
 
 
+def shape_grams(ids: np.ndarray, shapes: np.ndarray, bits: int) -> np.ndarray:
+    """Buckets of the 1- to 3-grams of word shapes; a word equal to the one before it has a
+    shape of its own, so stuttering shows whatever the word."""
+    one = shapes[ids]
+    one[1:][ids[1:] == ids[:-1]] = SAME
+    two = one[:-1] * np.uint32(31) + one[1:] * np.uint32(0x85EBCA77) + np.uint32(5)
+    three = two[:-1] * np.uint32(131) + one[2:] * np.uint32(0xC2B2AE3D) + np.uint32(9) if len(one) > 2 else one[:0]
+    return np.concatenate((one, two, three)) * _MULT >> np.uint32(32 - bits)
+
+
 def char_grams(text: str, bits: int, sizes: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:
     """Buckets of the character n-grams of a text, white space included."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -82,7 +107,7 @@ def collect_features(sample: DataFrame, features) -> list[tuple[int, int, np.nda
             yield pa.RecordBatch.from_arrays(cols, ["y", "fold", "i", "v"])
 
     rows = sample.mapInArrow(run, "y int, fold int, i binary, v binary").collect()
-    rows.sort(key=lambda r: (r.y, r.fold, bytes(r.i)))  # the model doesn't depend on the order of tasks
+    rows.sort(key=lambda r: (r.y, r.fold, bytes(r.i), bytes(r.v)))  # the model doesn't depend on the order of tasks
     return [(r.y, r.fold, np.frombuffer(r.i, "<u4"), np.frombuffer(r.v, "<f4")) for r in rows]
 
 
