@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from haulgrid.llm.bpe import bpe_round_trip
 from haulgrid.llm.common import table
 from haulgrid.llm.exact_dedup import exact_dedup
+from haulgrid.llm.html_text import extract_pages
 from haulgrid.llm.nbsvm import fit_nbsvm, nbsvm_scores
 from haulgrid.llm.quality_rules import fit_quality_model, quality_rules
 from haulgrid.llm.simhash import simhash_components
@@ -51,8 +52,12 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_quality_model(docs, table(spark, sf_dir, "labels"), "quality", max_rows=4000))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_output, op3_nbsvm, op4_exact_dedup, op6_simhash, op7_bpe, op8_quality_rules)
+    f.__name__: f for f in (op1_wavelet_output, op3_nbsvm, op4_exact_dedup, op6_simhash, op7_bpe, op8_quality_rules, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {
