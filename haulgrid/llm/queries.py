@@ -12,6 +12,8 @@ from haulgrid.llm.bpe import bpe_round_trip
 from haulgrid.llm.common import table
 from haulgrid.llm.exact_dedup import exact_dedup
 from haulgrid.llm.html_text import extract_pages
+from haulgrid.llm.line_dedup import duplicate_lines
+from haulgrid.llm.mixing import mix_sources
 from haulgrid.llm.nbsvm import fit_nbsvm, nbsvm_scores
 from haulgrid.llm.quality_rules import fit_quality_model, quality_rules
 from haulgrid.llm.simhash import simhash_components
@@ -22,6 +24,11 @@ def op1_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3, seed=1)
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns only from rows with crc32(doc_id as text) mod 4 other than 2."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -36,6 +43,11 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drops = duplicate_lines(table(spark, sf_dir, "documents"), threshold=1, min_chars=20)
+    return drops.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), radius=2, words_in_shingle=3, seed=42).drop("fp")
 
@@ -57,10 +69,72 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_output, op3_nbsvm, op4_exact_dedup, op6_simhash, op7_bpe, op8_quality_rules, op10_html_text)
+    f.__name__: f for f in (op1_wavelet_output, op2_mix_sources, op3_nbsvm, op4_exact_dedup, op5_line_dedup, op6_simhash, op7_bpe, op8_quality_rules, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_mix_sources": r"""
+        WITH sized AS (
+            SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+                   coalesce(len(regexp_extract_all(text, '[#*$%&|<>!]')), 0) AS marks,
+                   (('0x' || substr(md5('1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + CAST(0.5 AS DOUBLE))
+                       / CAST(4503599627370496 AS DOUBLE) AS u
+            FROM documents
+        ), keyed AS (
+            SELECT *, -ln(u) / (CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + CAST(10 AS DOUBLE) * marks / (size + 1))) AS key FROM sized
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size,
+                   CAST(1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 AS DOUBLE) AS weight
+            FROM keyed GROUP BY source
+        ), ahead AS (
+            SELECT *, CAST(3 * source_size AS DOUBLE) AS cap,
+                   coalesce(sum(CAST(3 * source_size AS DOUBLE)) OVER before, 0) AS caps_before,
+                   coalesce(sum(weight) OVER before, 0) AS weight_before,
+                   sum(source_size) OVER () AS total, sum(weight) OVER () AS weights
+            FROM sources
+            WINDOW before AS (ORDER BY 3 * source_size / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), fixed AS (
+            SELECT *, cap <= (total - caps_before) / (weights - weight_before) * weight AS capped FROM ahead
+        ), wanted AS (
+            SELECT source, source_size,
+                   CASE WHEN capped THEN cap ELSE
+                       (total - coalesce(sum(cap) FILTER (capped) OVER (), 0)) * weight / sum(weight) FILTER (NOT capped) OVER () END AS target
+            FROM fixed
+        ), placed AS (
+            SELECT k.doc_id, k.size, w.source_size, w.target, floor(w.target / greatest(w.source_size, 1)) AS epochs,
+                   sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) - k.size AS before
+            FROM keyed k JOIN wanted w ON k.source IS NOT DISTINCT FROM w.source
+        )
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (epochs + CAST(2 * (target - epochs * source_size - before) >= size AS INTEGER)) AS BIGINT) AS taken
+        FROM placed
+    """,
+    # one edit leaves the first or the second half of a line as it was
+    "op5_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
+            FROM documents
+        ), long AS (
+            SELECT doc_id, pos, line, length(line) AS n FROM lines WHERE length(line) >= 20
+        ), firsts AS (
+            SELECT line, n, min({d: doc_id, p: pos}) AS first FROM long GROUP BY ALL
+        ), near AS (
+            SELECT DISTINCT b.line FROM firsts a JOIN firsts b
+            ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.first < b.first
+               AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2)
+                    OR right(a.line, least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) // 2))
+            WHERE levenshtein(a.line, b.line) <= 1
+        ), gone AS (
+            SELECT l.doc_id, l.pos FROM long l JOIN firsts f ON l.line = f.line
+            WHERE {d: l.doc_id, p: l.pos} <> f.first OR l.line IN (SELECT line FROM near)
+        ), per_doc AS (
+            SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS dropped FROM gone GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(string_split(coalesce(d.text, ''), chr(10))) AS INTEGER) AS n_lines,
+               CAST(coalesce(g.n, 0) AS INTEGER) AS n_dropped, coalesce(g.dropped, '') AS dropped
+        FROM documents d LEFT JOIN per_doc g ON d.doc_id = g.doc_id
+    """,
     "op4_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
