@@ -15,6 +15,7 @@ from haulgrid.llm.html_text import extract_pages
 from haulgrid.llm.line_dedup import duplicate_lines
 from haulgrid.llm.mixing import mix_sources
 from haulgrid.llm.nbsvm import fit_nbsvm, nbsvm_scores
+from haulgrid.llm.pii import pseudonymize
 from haulgrid.llm.quality_rules import fit_quality_model, quality_rules
 from haulgrid.llm.simhash import simhash_components
 from haulgrid.llm.wavelet import wavelet_output
@@ -64,12 +65,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs, fit_quality_model(docs, table(spark, sf_dir, "labels"), "quality", max_rows=4000))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymize(table(spark, sf_dir, "documents"), key="production key, to be kept elsewhere")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_wavelet_output, op2_mix_sources, op3_nbsvm, op4_exact_dedup, op5_line_dedup, op6_simhash, op7_bpe, op8_quality_rules, op10_html_text)
+    f.__name__: f
+    for f in (op1_wavelet_output, op2_mix_sources, op3_nbsvm, op4_exact_dedup, op5_line_dedup, op6_simhash, op7_bpe, op8_quality_rules, op9_pii, op10_html_text)
 }
 
 ORACLE_SQL: dict[str, str] = {
