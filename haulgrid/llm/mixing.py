@@ -100,3 +100,11 @@ def mix_sources(
     copies = (F.col("epochs") + (F.lit(2) * (F.col("rest") - ahead) >= F.col("size")).cast("int")).cast("bigint")
     return placed.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(F.least(copies, F.lit(1))).alias("copies")).withColumn(
         "taken", F.col("size") * F.col("copies"))
+
+
+def mixed_rows(docs: DataFrame, mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; rows that repeat an id are taken
+    alike (as often as the most taken of them)."""
+    plan = mix.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
+    rows = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*docs.columns)

@@ -161,3 +161,24 @@ def quality_rules(
     rows = texts(docs, id_col=id_col, text_col=text_col)
     kinds = [dict(rows.dtypes)["doc_id"], *["bigint"] * 5, "boolean", "double", "boolean"]
     return rows.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def keep_good(docs: DataFrame, model: QualityModel | None, keep_at: float = 0.5, min_words: int = 50,
+              max_repeat_percent: int = 50, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that :func:`quality_rules` keeps, all columns as they are, in one
+    pass over the rows without a join. A null text is one without words."""
+    names = docs.columns
+
+    def run(batches):
+        ids = _worker_ids()
+        for b in batches:
+            good = []
+            for text in b.column(names.index(text_col)).to_pylist():
+                text = text or ""
+                own = ids.of(text.encode("utf-8").split())
+                n = len(own)
+                ok = n >= min_words and 100 * repeat_words(own) <= max_repeat_percent * n
+                good.append(ok and (model is None or model.probability(*grams(text, ids, own)) >= keep_at))
+            yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -196,3 +196,12 @@ def simhash_components(docs: DataFrame, radius: int = 2, words_in_shingle: int =
     by_print = labelled.join(by_root, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each component, the one with the smallest id. Rows that
+    repeat an id count as one document, so one of them stays; rows without an id can't be told
+    apart and stay."""
+    first = labelled.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(first, F.col(id_col) == F.col("_id"), "left_semi").dropDuplicates([id_col])
+    return kept.unionByName(docs.filter(F.col(id_col).isNull()))
