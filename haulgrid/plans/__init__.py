@@ -1 +1,6 @@
-"""See the package README section for this layer."""
+"""Registered queries: importing this package fills the registry."""
+
+from haulgrid.plans import queries_districts  # noqa: F401
+from haulgrid.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
