@@ -55,8 +55,11 @@ def exact_dedup(
         .groupBy("h", "text_sha256", "doc_id")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
+    # a key of its own makes both sides plain exchanges, so adaptive execution may split a hot one
+    key = F.concat("h", F.unhex("text_sha256")).alias("k")
+    groups = groups.select(key, "keep_id", "group_size")
     return (
-        members.join(groups, ["h", "text_sha256"])
+        members.select(key, "text_sha256", "doc_id", "copies").join(groups, "k")
         .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
         .select(
             "doc_id",
