@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import DataFrame
 
-from haulgrid.llm.common import texts
-from haulgrid.llm.pretokens import PretokenMemo
+from haulgrid.llm.common import in_slices, texts
+from haulgrid.llm.pretokens import PieceMemo
 
 
 class PerfectHash:
@@ -118,16 +118,26 @@ class Codec:
         for k, slot in zip(keys, self.hash.slot_of.tolist(), strict=True):
             self.key_at[slot], self.id_at[slot] = k, self.ranks[k].to_bytes(4, "little")
         self.bytes_of = {v: k for k, v in self.ranks.items()}
-        self.memo = PretokenMemo(pattern, self._encode_many)
-        self.encode = self.memo.ids
-
-    def _encode_many(self, parts: list[str]) -> Iterator[bytes]:
-        raw = [p.encode("utf-8") for p in parts]
-        for word, slot in zip(raw, self.hash.slots(raw).tolist(), strict=True):
-            if self.key_at[slot] == word:
-                yield self.id_at[slot]
-            else:
-                yield np.array(merge_bytes(word, self.ranks), "<u4").tobytes()
+        self.find = regex.compile(pattern).findall
+        self.encode = PieceMemo(self._encode_pieces, self._encode_whole).ids
+
+    def _pretokens(self, parts: set[str]) -> dict[str, bytes]:
+        """First tier: the whole pre-token is in the vocabulary. Second tier: merges."""
+        words = list(parts)
+        raw = [p.encode("utf-8") for p in words]
+        return {
+            p: self.id_at[slot] if self.key_at[slot] == word else np.array(merge_bytes(word, self.ranks), "<u4").tobytes()
+            for p, word, slot in zip(words, raw, self.hash.slots(raw).tolist(), strict=True)
+        }
+
+    def _encode_whole(self, text: str) -> bytes:
+        parts = self.find(text)
+        return b"".join(map(self._pretokens(set(parts)).__getitem__, parts))
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        split = [self.find(p) for p in pieces]
+        known = self._pretokens({t for s in split for t in s}).__getitem__
+        return [known(s[0]) if len(s) == 1 else b"".join(map(known, s)) for s in split]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -152,7 +162,7 @@ def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in in_slices(batches):
             ids = [c.encode(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
@@ -165,7 +175,7 @@ def bpe_decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in in_slices(batches):
             back = [c.decode(x or b"") for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(back, pa.binary())], ["doc_id", "text"])
 
@@ -179,7 +189,7 @@ def bpe_round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in in_slices(batches):
             ids = [c.encode(t) for t in b.column("text").to_pylist()]
             cols = [
                 b.column("doc_id"),

@@ -60,3 +60,10 @@ def texts(docs: DataFrame, *more: str, id_col: str = "doc_id", text_col: str = "
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def in_slices(batches, rows: int = 256):
+    """Arrow batches in slices of so many rows, so that what Python makes of one is small."""
+    for b in batches:
+        for start in range(0, b.num_rows, rows):
+            yield b.slice(start, rows)

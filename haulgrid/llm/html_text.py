@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from haulgrid.llm.common import in_slices
+
 # Fixed values of the HTML standard: elements without content, with raw content, that start a
 # block, and what an opening tag closes without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -242,7 +244,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             got = [main_text(h) for h in b.column("html").to_pylist()]
             cols = [b.column("page_id"), b.column("url"), pa.array(got, pa.string()), pa.array([len(t) for t in got], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "url", "text", "n_chars"])

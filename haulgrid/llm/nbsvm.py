@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from haulgrid.llm.common import texts
+from haulgrid.llm.common import in_slices, texts
 from haulgrid.llm.ngrams import WordIds, calibrate, char_grams, collect_features, labelled_sample, shape_grams, sigmoid, word_grams
 
 BITS = 18
@@ -107,7 +107,7 @@ def nbsvm_scores(docs: DataFrame, model: NbSvm, id_col: str = "doc_id", text_col
     """
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             scores = [model.score(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.common import texts
+from haulgrid.llm.common import in_slices, texts
 
 _MULT = np.uint32(0x9E3779B1)
 
@@ -29,7 +29,7 @@ class WordIds(dict):
     """Exact small ids of words (bytes), a 32-bit hash of each and one of its shape; emptied between texts once
     it holds ``limit`` words, so memory is bounded by the limit and the longest text."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self.hashes, self.shapes = np.zeros(1024, np.uint32), np.zeros(1024, np.uint32)
 
@@ -99,7 +99,7 @@ def collect_features(sample: DataFrame, features) -> list[tuple[int, int, np.nda
     rows as the sample's bound and as many buckets a row as the hash has."""
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             made = [features(t) for t in b.column("text").to_pylist()]
             cols = [b.column("y"), b.column("fold"),
                     pa.array([i.astype("<u4").tobytes() for i, _ in made], pa.binary()),

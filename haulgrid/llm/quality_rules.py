@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from haulgrid.llm.common import texts
+from haulgrid.llm.common import in_slices, texts
 from haulgrid.llm.ngrams import WordIds, calibrate, char_grams, collect_features, labelled_sample, sigmoid, word_grams
 
 WORD_BITS = CHAR_BITS = 17
@@ -142,7 +142,7 @@ def quality_rules(
 
     def run(batches):
         ids = _worker_ids()
-        for b in batches:
+        for b in in_slices(batches):
             out = []
             for text in b.column("text").to_pylist():
                 words = text.encode("utf-8").split()
@@ -171,7 +171,7 @@ def keep_good(docs: DataFrame, model: QualityModel | None, keep_at: float = 0.5,
 
     def run(batches):
         ids = _worker_ids()
-        for b in batches:
+        for b in in_slices(batches):
             good = []
             for text in b.column(names.index(text_col)).to_pylist():
                 text = text or ""

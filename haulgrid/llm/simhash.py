@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.common import drop_path, materialize, texts
+from haulgrid.llm.common import drop_path, in_slices, materialize, texts
 
 #: Bits of a tile key that one block's population count takes, by number of blocks: enough for
 #: the count plus the radius, so a step outside the range never meets a real count.
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = 3, seed: int = 42, id_
     """doc_id, fp (the fingerprint as a signed long) of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches):
             fps = np.array([fingerprint(t, words_in_shingle, seed) for t in b.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 

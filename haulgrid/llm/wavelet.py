@@ -16,7 +16,8 @@ import json
 import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,13 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from haulgrid.llm.common import materialize, texts
-from haulgrid.llm.pretokens import PretokenMemo
+from haulgrid.llm.common import in_slices, materialize, texts
+from haulgrid.llm.pretokens import PieceMemo, in_groups
 
 MAGIC = b"WMX1"
 BLOCK = 512
+#: Punctuation that often ends a word.
+CLOSING = ".,;:!?%&$*#|)"
 
 
 class WaveletMatrix:
@@ -43,16 +46,19 @@ class WaveletMatrix:
         n, rest = len(ids), ids
         planes, ranks, zeros = [], [], []
         for level in range(width):
-            bit = ((rest >> (width - 1 - level)) & 1).astype(bool)
+            bit = (rest & rest.dtype.type(1 << (width - 1 - level))) != 0
             packed = np.packbits(bit, bitorder="little")
             blocks = np.zeros(-(-n // BLOCK) * (BLOCK // 8), np.uint8)
             blocks[:len(packed)] = packed
             ones = np.bitwise_count(blocks).reshape(-1, BLOCK // 8).sum(1, dtype=np.int64)
             planes.append(packed)
             ranks.append(np.concatenate(([0], np.cumsum(ones))).astype(np.uint32))
-            low = rest[~bit]
-            zeros.append(len(low))
-            rest = np.concatenate((low, rest[bit]))
+            unset = ~bit
+            zeros.append(int(np.count_nonzero(unset)))
+            parted = np.empty_like(rest)
+            np.compress(unset, rest, out=parted[:zeros[-1]])
+            np.compress(bit, rest, out=parted[zeros[-1]:])
+            rest = parted
         return cls(planes, ranks, zeros, n)
 
     def _bit(self, level: int, i: int) -> int:
@@ -112,12 +118,13 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """The whole sequence: the stable partitions undone from the lowest plane up."""
-        got = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if self.width <= 16 else np.uint32
+        got = np.zeros(self.n, kind)
         for level in range(self.width - 1, -1, -1):
-            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").astype(bool)
+            bit = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            got[self.zeros[level]:] |= kind(1 << (self.width - 1 - level))
             up = np.empty_like(got)
-            up[~bit] = got[:self.zeros[level]]
-            up[bit] = got[self.zeros[level]:] | np.uint32(1 << (self.width - 1 - level))
+            up[np.concatenate((np.flatnonzero(~bit), np.flatnonzero(bit)))] = got
             got = up
         return got
 
@@ -166,38 +173,87 @@ class Shard:
         return cls(ids, part("lengths", "<i8"), WaveletMatrix(planes, ranks, head["zeros"], head["n"]))
 
 
-def library_encoder(path: str) -> Callable[[], Callable[[str], bytes]]:
-    """Encoder over the tokenizers library for a byte-level BPE file.
-
-    Merges never cross a pre-token, so the library is asked once for each distinct pre-token
-    that a worker meets, not for each occurrence; a test holds the ids against the library's
-    own encoding of whole texts. Special strings in a text are ordinary text.
-    """
-
-    def start() -> Callable[[str], bytes]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        import public_tokenizers
+def _byte_letters() -> dict[str, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable bytes stand
+    for themselves, the others for letters from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): chr(b) for b in own} | {chr(b): chr(256 + k) for k, b in enumerate(rest)}
 
-        model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
 
-        def many(parts: list[str]) -> Iterator[bytes]:
-            for got in model.encode_batch_fast(parts, add_special_tokens=False):
-                yield np.array(got.ids, "<u4").tobytes()
-
-        return PretokenMemo(public_tokenizers.PATTERN, many).ids
+@lru_cache(maxsize=2)
+def _library(path: str) -> Callable[[list[str]], list[bytes]]:
+    """Encoder over the tokenizers library for a byte-level BPE file.
 
-    return start
+    Merges never cross a pre-token, so the library is asked once for each distinct piece of
+    text that a worker meets, not for each occurrence; a test holds the ids against the
+    library's own encoding of whole texts. New pieces go to the library as one string with a line end
+    between each two, which before anything but white space is a pre-token of its own. Special
+    strings in a text are ordinary text.
+    """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True
+
+    def flat(text: str) -> np.ndarray:
+        return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    line_end = flat("\n")
+    if len(line_end) != 1:
+        raise ValueError("a line end must be one token")
+
+    end, cores = line_end.tobytes(), {}
+    tokenize, raw_id = model.model.tokenize, [k.to_bytes(4, "little") for k in range(model.get_vocab_size())]
+    spelled = str.maketrans(_byte_letters())
+
+    def encode_cores(new: list[str]) -> None:
+        """A core of letters is one pre-token and goes to the library's merges alone; any other
+        goes through all of the library."""
+        mixed = []
+        for c in new:
+            word = c[1:] if c[0] == " " else c
+            if word.isalpha():
+                plain = c.replace(" ", "\u0120") if c.isascii() else c.encode("utf-8").decode("latin-1").translate(spelled)
+                cores[c] = b"".join([raw_id[t.id] for t in tokenize(plain)])
+            else:
+                mixed.append(c)
+        if mixed:
+            ids = flat("\n".join(mixed))
+            raw, edges = ids.tobytes(), [-4, *(4 * np.flatnonzero(ids == line_end[0])).tolist(), 4 * len(ids)]
+            cores.update(zip(mixed, (raw[a + 4:z] for a, z in zip(edges, edges[1:], strict=False)), strict=True))
+
+    def many(pieces: list[str]) -> list[bytes]:
+        # closing punctuation after a letter or digit is a pre-token of its own
+        bare = [p[1:] if p[0] == "\n" else p for p in pieces]
+        short = [p.rstrip(CLOSING) for p in bare]
+        short = [c if c and c[-1].isalnum() else p for c, p in zip(short, bare, strict=True)]
+        tails = [p[len(c):] for c, p in zip(short, bare, strict=True)]
+        if len(cores) > 300_000:
+            cores.clear()
+        if new := [c for c in {*short, *tails} if c and c not in cores]:
+            encode_cores(new)
+        cores[""] = b""
+        return [
+            (end if p[0] == "\n" else b"") + cores[c] + cores[t]
+            for p, c, t in zip(pieces, short, tails, strict=True)
+        ]
+
+    return PieceMemo(many, lambda text: flat(text).tobytes(), limit=600_000).ids_many
+
+
+def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
+    """What gives a worker its encoder; all tasks of a worker share one."""
+    return lambda: _library(path)
 
 
 def write_shards(
     docs: DataFrame,
-    encoder: Callable[[], Callable[[str], bytes]],
+    encoder: Callable[[], Callable[[list[str]], list[bytes]]],
     end_id: int,
     width: int = 16,
-    shard_tokens: int = 2_000_000,
+    shard_tokens: int = 500_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[DataFrame, str]:
@@ -233,9 +289,10 @@ def write_shards(
             )
 
         size = 0
-        for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                one = encode(text) + end
+        for b in in_slices(batches):
+            coded = (one for some in in_groups(b.column("text").to_pylist()) for one in encode(some))
+            for doc, one in zip(b.column("doc_id").to_pylist(), coded, strict=True):
+                one += end
                 held.append(doc)
                 ids.append(one)
                 lengths.append(len(one) // 4)
