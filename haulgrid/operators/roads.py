@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from haulgrid.sources.stage import cut
+
 
 def way_edges(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Directed edges of ways (way, refs, speed, fwd, bwd): consecutive nodes, both directions
@@ -54,11 +56,11 @@ def snap_nodes(points: DataFrame, nodes: DataFrame, cell: float, rings: int = 1,
         d = F.hypot(F.col("x") - F.col("nx"), F.col("y") - F.col("ny"))
         found = probe.join(grid, ["gx", "gy"]).groupBy(id_col).agg(F.min(F.struct(d.alias("d"), F.col("node").alias("node"))).alias("best"))
         last = rings * size >= span
-        good = found.filter(F.lit(last) | (F.col("best.d") <= rings * size)).select(id_col, F.col("best.node").alias("node"), F.col("best.d").alias("snap_m"))
+        good = cut(found.filter(F.lit(last) | (F.col("best.d") <= rings * size)).select(id_col, F.col("best.node").alias("node"), F.col("best.d").alias("snap_m")))
         placed = good if placed is None else placed.unionAll(good)
         if last:
             return placed
-        todo = todo.join(good, id_col, "left_anti")
+        todo = cut(todo.join(good, id_col, "left_anti"))
         if todo.isEmpty():
             return placed
         size *= 2

@@ -290,19 +290,19 @@ def snap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.snap_nodes(anchor, grid_nodes(spark), 120.0)
 
 
-_STOPS = {"pts": "SELECT depot, bu, avg(x) AS x, avg(y) AS y FROM deliv WHERE dow < 5 AND q % 5 = 0 AND r % 5 = 0 GROUP BY ALL"}
+_STOPS = {"big": fx.hex_sql("scans", 1000.0), "pts": "SELECT depot, bu, avg(x) AS x, avg(y) AS y FROM big WHERE dow < 5 GROUP BY ALL"}
 
 
 def _points(spark, sf_dir):
-    return fx.deliv(spark, sf_dir).filter("dow < 5 AND q % 5 = 0 AND r % 5 = 0").groupBy("depot", "bu").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return fx.deliv(spark, sf_dir, 1000.0).filter("dow < 5").groupBy("depot", "bu").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-@query(with_views("deliv", more=_STOPS) + "SELECT a.depot, a.bu AS o, b.bu AS d, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 1000 AS euclid_km FROM pts a JOIN pts b ON a.depot = b.depot", "euclid_km")
+@query(with_views("scans", more=_STOPS) + "SELECT a.depot, a.bu AS o, b.bu AS d, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 1000 AS euclid_km FROM pts a JOIN pts b ON a.depot = b.depot", "euclid_km")
 def od_euclid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return roads.od_euclid(_points(spark, sf_dir))
 
 
-@query(with_views("deliv", more=_STOPS | {"od": """SELECT a.depot, a.bu AS o, b.bu AS d, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 1000 AS e, (abs(a.x - b.x) + abs(a.y - b.y)) / 1000 AS km
+@query(with_views("scans", more=_STOPS | {"od": """SELECT a.depot, a.bu AS o, b.bu AS d, sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) / 1000 AS e, (abs(a.x - b.x) + abs(a.y - b.y)) / 1000 AS km
         FROM pts a JOIN pts b ON a.depot = b.depot"""}) + "SELECT depot, median(km / e) AS circ FROM od WHERE o <> d AND e > CAST(0.3 AS DOUBLE) GROUP BY depot", "circ")
 def circuity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Circuity with rectangular distances in the place of the road's."""

@@ -82,3 +82,14 @@ def enrich(events: DataFrame, mapped: DataFrame, side: float = 250.0) -> DataFra
 def read_results(spark: SparkSession, folder: str, exclude: str = "annual") -> DataFrame:
     """Union of result tables below a folder partitioned by variant, without one variant."""
     return spark.read.parquet(folder).filter(F.col("variant") != exclude)
+
+
+def read_if_all(spark: SparkSession, paths: list[str]) -> list[DataFrame] | None:
+    """Tables at all the paths, or None if one is missing: a block of variants is read only as
+    a whole. The stores' own clients look, so any path that Spark reads will do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        if not where.getFileSystem(conf).exists(where):
+            return None
+    return [spark.read.parquet(p) for p in paths]
