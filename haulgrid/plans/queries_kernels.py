@@ -156,7 +156,7 @@ def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All policies over the evaluation window, measured."""
     d = _d(spark, sf_dir)
     a = policies.rolling(d, SIDE, _target(d), lambdas=(1000.0,), time_limit=1.0)
-    return policies.rolling_metrics(a)
+    return policies.rolling_metrics(a.cache())  # read by every measure
 
 
 @query()
