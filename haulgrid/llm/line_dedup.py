@@ -137,7 +137,9 @@ def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id
     near = near.join(firsts.select(F.col("id").alias("ib"), F.struct("first", "id").alias("fb")), "ib")
     later = near.select(F.when(F.col("fa") < F.col("fb"), F.col("ib")).otherwise(F.col("ia")).alias("id")).distinct()
     fate = firsts.join(later.withColumn("near", F.lit(True)), "id", "left")
-    gone = spots.join(fate, "id").filter(F.col("near") | (place != F.col("first")))
+    # a key of its own makes both sides plain exchanges, so adaptive execution may split a common line
+    key = F.hex("id").alias("k")
+    gone = spots.select(key, "doc_id", "pos").join(fate.select(key, "first", "near"), "k").filter(F.col("near") | (place != F.col("first")))
     per_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")).withColumnRenamed("doc_id", "d")
     counts = rows.select("doc_id", F.size(split).alias("n_lines"))
     none = F.array().cast("array<int>")
