@@ -25,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, or nearly do, are cut from their documents."""
-    left = without_lines(docs, duplicate_lines(docs, threshold=1, min_chars=20))
+    """Lines that repeat an earlier line, or do so but for a character or a word, are cut from their documents."""
+    left = without_lines(docs, duplicate_lines(docs, threshold=1, min_chars=20, least_words=8))
     return left.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in left.columns else left
 
 

@@ -1,7 +1,8 @@
 """Line deduplication by a segment-partition edit join, in SQL functions.
 
 A pair of lines at edit distance t or less shares, when one is cut into t + 1 even segments, at
-least one segment at nearly the same place (Li, Deng, Wang, Feng: Pass-Join, 2011).
+least one segment at nearly the same place (Li, Deng, Wang, Feng: Pass-Join, 2011). The same holds
+for words: of the two halves of a line's words, one stays when a single word changes.
 """
 
 from __future__ import annotations
@@ -48,6 +49,45 @@ def probe_keys(line: Column, length: Column, t: int, least: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
+def word_count(line: Column) -> Column:
+    """Words between single blanks; two blanks in a row have an empty one between them."""
+    return (F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1).cast("int")
+
+
+def _half(line: Column, words: Column, i: int) -> Column:
+    """The first (i = 0) or the last ``words`` words."""
+    return F.call_function("substring_index", line, F.lit(" "), words if i == 0 else -words)
+
+
+def word_keys(line: Column, words: Column) -> Column:
+    """Keys of the two halves of a line's words; apart from those of characters by their place."""
+    head = F.floor(words / 2).cast("int")
+    return F.array(*[_key(words, -1 - i, _half(line, n, i)) for i, n in enumerate((head, words - head))])
+
+
+def word_probe_keys(line: Column, words: Column, least: int) -> Column:
+    """Keys of the halves that a line of as many words, or one fewer, may share with this one."""
+    keys = []
+    for gap in (0, 1):
+        other = words - gap
+        head = F.floor(other / 2).cast("int")
+        for i, n in enumerate((head, other - head)):
+            probe = F.struct(_key(other, -1 - i, _half(line, n, i)).alias("key"), F.lit(gap == 0).alias("same"))
+            keys.append(F.when(other >= least, probe))
+    return F.array_compact(F.array(*keys))
+
+
+def word_within(a: str, b: str) -> Column:
+    """Whether one word put in, left out or replaced makes line columns ``a`` and ``b`` equal:
+    their common first and last words are all but one of the longer line's."""
+    return F.expr(f"""
+        transform(array(named_struct('p', split({a}, ' ', -1), 's', split({b}, ' ', -1))), q ->
+        aggregate(array(zip_with(q.p, q.s, (x, y) -> x <=> y), zip_with(reverse(q.p), reverse(q.s), (x, y) -> x <=> y)), 0L,
+            (n, same) -> n + if(array_position(same, false) = 0, size(same), array_position(same, false) - 1))
+        >= greatest(size(q.p), size(q.s)) - 1)[0]
+    """)
+
+
 def edit_within(a: str, b: str, t: int) -> Column:
     """Whether the edit distance of line columns ``a`` and ``b`` is at most t, for t >= 1 and
     lengths that differ by at most t.
@@ -84,34 +124,54 @@ def edit_within(a: str, b: str, t: int) -> Column:
     """)
 
 
-def near_lines(distinct: DataFrame, t: int, least: int) -> DataFrame:
-    """Pairs (a, b) of different lines within t edits, each pair once.
+def near_lines(distinct: DataFrame, t: int, least: int, least_words: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different lines within t edits, or of ``least_words`` words or more each
+    and within one word, each pair once.
 
     ``distinct`` has (h, line): lines of ``least`` characters or more, once each, and a 64-bit
     hash of the line by which it is partitioned. Segment rows carry only that hash; the lines
     come back for candidate pairs alone, from the same exchange.
+
+    One edited character changes one word, or splits or joins two, so halves of words also find
+    pairs within one edit: for t = 1, lines of more than ``least_words`` words need no other keys.
     """
-    length = F.char_length("line")
-    rows = distinct.select("h", "line", length.cast("int").alias("n"))
-    index = rows.select(F.col("h").alias("hi"), F.explode(index_keys(F.col("line"), F.col("n"), t)).alias("key"))
-    probe = rows.select(F.col("h").alias("hp"), F.explode(probe_keys(F.col("line"), F.col("n"), t, least)).alias("probe"))
+    line, n, words = F.col("line"), F.col("n"), F.col("words")
+    rows = distinct.select("h", "line", F.char_length("line").cast("int").alias("n"), word_count(F.col("line")).alias("words"))
+    index_of, probe_of = index_keys(line, n, t), probe_keys(line, n, t, least)
+    if least_words is not None:
+        least_words = max(least_words, 2)
+        chars = words <= least_words if t == 1 else F.lit(True)
+        index_of = F.flatten(F.array_compact(F.array(F.when(chars, index_of), F.when(words >= least_words, word_keys(line, words)))))
+        probe_of = F.flatten(F.array_compact(F.array(
+            F.when(chars, probe_of), F.when(words >= least_words, word_probe_keys(line, words, least_words)))))
+    index = rows.select(F.col("h").alias("hi"), F.explode(index_of).alias("key"))
+    probe = rows.select(F.col("h").alias("hp"), F.explode(probe_of).alias("probe"))
     probe = probe.select("hp", "probe.key", "probe.same")
     wanted = (F.col("hi") < F.col("hp")) | ((F.col("hi") != F.col("hp")) & ~F.col("same"))
-    candidates = index.join(probe, (index.key == probe.key) & wanted).select("hi", "hp").distinct()
+    candidates = index.join(probe, (index.key == probe.key) & wanted)
+    if least_words is not None:  # a pair may come one way round by characters and the other by words
+        candidates = candidates.select(F.least("hi", "hp").alias("hi"), F.greatest("hi", "hp").alias("hp"))
+    candidates = candidates.select("hi", "hp").distinct()
     pairs = candidates.join(distinct.select(F.col("h").alias("hi"), F.col("line").alias("a")), "hi")
     pairs = pairs.join(distinct.select(F.col("h").alias("hp"), F.col("line").alias("b")), "hp")
-    close = F.abs(F.char_length("a") - F.char_length("b")) <= t
-    return pairs.filter(close & (F.col("a") != F.col("b"))).filter(edit_within("a", "b", t)).select("a", "b")
+    near = (F.abs(F.char_length("a") - F.char_length("b")) <= t) & edit_within("a", "b", t)
+    if least_words is not None:
+        long = F.least(word_count(F.col("a")), word_count(F.col("b"))) >= least_words
+        near = F.when(long & word_within("a", "b"), True).otherwise(near)
+    return pairs.filter(F.col("a") != F.col("b")).filter(near).select("a", "b")
 
 
 def _id(line: Column) -> Column:
     return F.substring(F.unhex(F.sha2(line.cast("binary"), 256)), 1, 16)
 
 
-def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text",
+                    least_words: int | None = None) -> DataFrame:
     """Lines to drop: a line equal to one that comes earlier, or within ``threshold`` edits of
     an earlier one, by (doc_id, line number). Lines end at \\n; shorter lines than
     ``min_chars`` characters are left alone, for few edits turn them into anything.
+    With ``least_words``, a line of so many words or more also goes if one word put in, left out
+    or replaced makes it an earlier one of so many words, however many characters that word has.
 
     Equal lines are folded map-side first, so a line of a third of all documents is one row to
     the join. "Earlier" is by first occurrence and does not ask whether the earlier line stays,
@@ -132,7 +192,7 @@ def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id
     firsts = spots.groupBy("id").agg(F.min(place).alias("first"))
     distinct = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.collect_set("line").alias("same"))
     distinct = distinct.select("h", F.explode("same").alias("line"))
-    near = near_lines(distinct, threshold, min_chars).select(_id(F.col("a")).alias("ia"), _id(F.col("b")).alias("ib"))
+    near = near_lines(distinct, threshold, min_chars, least_words).select(_id(F.col("a")).alias("ia"), _id(F.col("b")).alias("ib"))
     near = near.join(firsts.select(F.col("id").alias("ia"), F.struct("first", "id").alias("fa")), "ia")
     near = near.join(firsts.select(F.col("id").alias("ib"), F.struct("first", "id").alias("fb")), "ib")
     later = near.select(F.when(F.col("fa") < F.col("fb"), F.col("ib")).otherwise(F.col("ia")).alias("id")).distinct()

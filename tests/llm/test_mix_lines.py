@@ -150,3 +150,35 @@ def test_line_dedup_against_brute_force(spark):
         stays = not want.get(i) or bool(rest.strip()) or not text.strip()
         assert ((i, rest) in left) == stays
     assert duplicate_lines(frame(spark, [])).count() == 0
+
+
+def one_word(a, b, least):
+    a, b = a.split(" "), b.split(" ")
+    return a != b and min(len(a), len(b)) >= least and lev(a, b) <= 1
+
+
+@pytest.mark.parametrize("t", [1, 2])
+def test_edit_join_with_words_against_all_pairs(spark, t):
+    rnd = random.Random(20 + t)
+    vocabulary = ["über", "a", "", "longer🙂word", "some", "other", "words", "x" * 30]
+    lines = {"x" * 40, "x" * 39, "no blanks at all", "no blanks atall"}
+    for _ in range(12):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.randint(3, 14))]
+        lines.add(" ".join(words))
+        for _ in range(4):
+            k, new = rnd.randrange(len(words)), rnd.choice(vocabulary)
+            lines.add(" ".join(rnd.choice([words[:k] + [new] + words[k + 1:], words[:k] + words[k + 1:], words[:k] + [new] + words[k:]])))
+            lines.add(edited(rnd, " ".join(words), rnd.randint(1, t + 1)))
+            at = rnd.randrange(len(" ".join(words)))
+            lines.add(" ".join(words)[:at] + " " + " ".join(words)[at:])
+    lines = sorted(x for x in lines if len(x) >= 10)
+    want = {frozenset((a, b)) for a in lines for b in lines if a < b and (lev(a, b) <= t or one_word(a, b, 6))}
+    df = spark.createDataFrame([(x,) for x in lines], "line string").select(F.xxhash64("line").alias("h"), "line")
+    got = [frozenset((r.a, r.b)) for r in near_lines(df, t, 10, 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
+def test_a_changed_word_of_a_long_line_is_a_near_copy(spark):
+    line = "the quick brown fox jumps over the lazy dog while all the others are asleep"
+    docs = frame(spark, [(1, line, "s"), (2, line.replace("asleep", "wandering"), "s"), (3, line.replace("quick ", ""), "s"), (4, line.replace("quick", "sly").replace("dog", "hen"), "s")])
+    assert {r.doc_id: r.n_dropped for r in duplicate_lines(docs, least_words=8).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
