@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from haulgrid.llm.common import texts
 
 
+#: What a line or text with a word has.
+WORDS = r"[^\x20\x09-\x0D]"
+
+
 def segment_starts(length: Column, t: int) -> list[tuple[Column, Column]]:
     """(start, length) of the t + 1 even segments of a line; the last ones are the longer."""
     short, long = F.floor(length / (t + 1)).cast("int"), F.pmod(length, F.lit(t + 1)).cast("int")
@@ -166,12 +170,13 @@ def _id(line: Column) -> Column:
 
 
 def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                    least_words: int | None = None) -> DataFrame:
+                    least_words: int | None = None, fold_short: bool = False) -> DataFrame:
     """Lines to drop: a line equal to one that comes earlier, or within ``threshold`` edits of
     an earlier one, by (doc_id, line number). Lines end at \\n; shorter lines than
     ``min_chars`` characters are left alone, for few edits turn them into anything.
     With ``least_words``, a line of so many words or more also goes if one word put in, left out
     or replaced makes it an earlier one of so many words, however many characters that word has.
+    With ``fold_short``, equal lines are folded whatever their length, if they have a word.
 
     Equal lines are folded map-side first, so a line of a third of all documents is one row to
     the join. "Earlier" is by first occurrence and does not ask whether the earlier line stays,
@@ -186,11 +191,13 @@ def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id
     """
     rows = texts(docs, id_col=id_col, text_col=text_col)
     split = F.split("text", "\n", -1)
-    lines = rows.select("doc_id", F.posexplode(split).alias("pos", "line")).filter(F.char_length("line") >= min_chars)
+    lines = rows.select("doc_id", F.posexplode(split).alias("pos", "line"))
+    long = F.char_length("line") >= min_chars
+    lines = lines.filter(long | F.col("line").rlike(WORDS) if fold_short else long)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
     spots = lines.select("doc_id", "pos", _id(F.col("line")).alias("id"))
     firsts = spots.groupBy("id").agg(F.min(place).alias("first"))
-    distinct = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.collect_set("line").alias("same"))
+    distinct = lines.filter(long).groupBy(F.xxhash64("line").alias("h")).agg(F.collect_set("line").alias("same"))
     distinct = distinct.select("h", F.explode("same").alias("line"))
     near = near_lines(distinct, threshold, min_chars, least_words).select(_id(F.col("a")).alias("ia"), _id(F.col("b")).alias("ib"))
     near = near.join(firsts.select(F.col("id").alias("ia"), F.struct("first", "id").alias("fa")), "ia")
@@ -214,7 +221,6 @@ def without_lines(docs: DataFrame, drops: DataFrame, id_col: str = "doc_id", tex
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left")
     kept = F.expr(f"array_join(filter(split({text_col}, '\\n', -1), (x, i) -> not array_contains(_dropped, i)), '\\n')")
     rest = F.when(F.col("_dropped").isNull(), F.col(text_col)).otherwise(kept)
-    words = r"[^\x20\x09-\x0D]"
     joined = joined.withColumn("_rest", rest).filter(
-        F.col("_dropped").isNull() | F.col("_rest").rlike(words) | ~F.col(text_col).rlike(words))
+        F.col("_dropped").isNull() | F.col("_rest").rlike(WORDS) | ~F.col(text_col).rlike(WORDS))
     return joined.select(*[F.col("_rest").alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -45,7 +45,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    drops = duplicate_lines(table(spark, sf_dir, "documents"), threshold=1, min_chars=20, least_words=8)
+    drops = duplicate_lines(table(spark, sf_dir, "documents"), threshold=1, min_chars=20, least_words=8, fold_short=True)
     return drops.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
 
 

@@ -182,3 +182,10 @@ def test_a_changed_word_of_a_long_line_is_a_near_copy(spark):
     line = "the quick brown fox jumps over the lazy dog while all the others are asleep"
     docs = frame(spark, [(1, line, "s"), (2, line.replace("asleep", "wandering"), "s"), (3, line.replace("quick ", ""), "s"), (4, line.replace("quick", "sly").replace("dog", "hen"), "s")])
     assert {r.doc_id: r.n_dropped for r in duplicate_lines(docs, least_words=8).collect()} == {1: 0, 2: 1, 3: 1, 4: 0}
+
+
+def test_equal_short_lines_are_folded_and_near_ones_stay(spark):
+    docs = frame(spark, [(1, "Home\n\nabc\n \nHome", "s"), (2, "\nHome\nabd\n \nabc", "s")])
+    drops = duplicate_lines(docs, least_words=8, fold_short=True)
+    assert {r.doc_id: r.dropped for r in drops.collect()} == {1: [4], 2: [1, 4]}
+    assert {r.n_dropped for r in duplicate_lines(docs).collect()} == {0}
