@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from haulgrid.llm.common import texts
 
 ROUNDS = 10
+#: Groups of four (the last may be shorter), 4-6-5, or digits in one piece: where a card may start.
+_CARD = r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)"
 #: What is looked for, in this order. Each needs a digit, @, = or :, which a first quick look uses.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
@@ -19,9 +21,12 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)"
-             r"|(?<![\w+.-])(?:\+\d{1,3}[ .-])?\d{3}(?<cut>[ .-])\d{3}\k<cut>\d{4}(?![\d-])"
-             r"|(?<![\w+])\+\d{11,13}(?!\d)",
-    "card": r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])",
+             r"|(?<![\w+.-])(?:\+\d{1,3}[ .-])?\d{3}(?<cut>[ .-])\d{3}\k<cut>\d{4}(?![\d-]|[ -]\d{4}[ -]\d{4}(?!\d))"
+             r"|(?<![\w+.-])1(?<dot>[ .-])\d{3}\k<dot>\d{3}\k<dot>\d{4}(?![\d-])"
+             r"|(?<![\w+])\+(?=\d(?:[ ().-]{0,2}\d){7,14}(?!\d))\d{1,3}(?:[ .-]?\(\d{1,4}\))?[ .-]?\d{1,12}(?:[ .-]\d{1,12}){0,5}(?!\d)"
+             r"|(?<![\w.,/:=+-])1?[2-9]\d{2}[2-9]\d{6}(?![\w-]|[.,:/]\d)",
+    "card": rf"(?<![\w.-])\d{{4}}(?<gap>[ -])\d{{4}}(?:\k<gap>\d{{4}}){{2,6}}(?:\k<gap>\d{{1,3}}(?![ -]\d))?(?![\w-])"
+            rf"|(?<![\w.-])\d(?:(?![ -]{_CARD})[ -]?\d){{12,18}}(?![\w-])",
 }
 KINDS = tuple(PATTERNS)
 
@@ -71,6 +76,24 @@ def _check_digit(payload: str) -> str:
     return f"cast(pmod(10 - {total} % 10, 10) as string)"
 
 
+def _cards(x: str, key: str) -> str:
+    """(text, n): ``x`` with its cards replaced, and their number. What is no card as a whole is
+    tried from each group of digits on, the longest run of groups first; all groups of a card
+    but the last have four digits or more."""
+    run = "array_join(slice(parts, i + 1, m), '')"
+    runs = f"transform(sequence(least(size(parts) - i, 5), 1, -1), m -> named_struct('m', m, 'run', {run}, 'short', exists(slice(parts, i + 1, m - 1), p -> length(p) < 5)))"
+    fits = f"length({_digits('u.run')}) between 13 and 19 and not u.short"
+    hits = f"filter(transform(filter({runs}, u -> {fits}), u -> named_struct('m', u.m, 'new', {_card('u.run', key)})), u -> u.new is not null)"
+    step = _let("hit", f"get({hits}, 0)",
+                "if(hit is null, named_struct('out', concat(s.out, parts[i]), 'skip', 0, 'n', s.n), "
+                "named_struct('out', concat(s.out, hit.new), 'skip', hit.m - 1, 'n', s.n + 1))")
+    skip = "named_struct('out', s.out, 'skip', s.skip - 1, 'n', s.n)"
+    scan = f"aggregate(sequence(0, size(parts) - 1), named_struct('out', '', 'skip', 0, 'n', 0), (s, i) -> if(s.skip > 0, {skip}, {step}), s -> named_struct('out', s.out, 'n', s.n))"
+    whole = f"if(length({_digits(x)}) between 13 and 19, {_card(x, key)}, null)"
+    parts = f"regexp_extract_all({x}, '[0-9]+[ -]?', 0)"
+    return _let("all", whole, f"if(all is not null, named_struct('out', all, 'n', 1), {_let('parts', parts, scan)})")
+
+
 def _card(x: str, key: str) -> str:
     """First digit and length stay, the digits between are permuted, the check digit follows."""
     middle = "substr(d, 2, length(d) - 2)"
@@ -83,10 +106,11 @@ def _card(x: str, key: str) -> str:
 
 
 def _phone(x: str, key: str) -> str:
-    """The country code stays; the last ten digits are permuted."""
-    moved = _feistel("phone", "100000", "100000", "substr(d, -10)", key)
-    new = f"concat(substr(d, 1, length(d) - 10), lpad(cast({moved} as string), 10, '0'))"
-    return _let("d", _digits(x), _refill(x, new))
+    """The country code stays; the digits after it, the last ten at most, are permuted."""
+    code = f"if({x} like '+%', length(regexp_extract({x}, '^[+]([0-9]{{1,3}})(?![0-9])', 1)), 0)"
+    moved = _feistel("phone", _power("tail div 2"), _power("tail - tail div 2"), "substr(d, length(d) - tail + 1)", key)
+    new = f"concat(substr(d, 1, length(d) - tail), lpad(cast({moved} as string), tail, '0'))"
+    return _let("d", _digits(x), _let("tail", f"least(10, length(d) - if({x} like '+%', greatest(1, {code}), 0))", _refill(x, new)))
 
 
 def _ssn(x: str, key: str) -> str:
@@ -145,7 +169,7 @@ def _secret(x: str, key: str) -> str:
     return _let("w", value, f"if({x} like 'AKIA%' or w rlike '[0-9]', {whole}, null)")
 
 
-_MAKERS = {"email": _email, "secret": _secret, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone, "card": _card}
+_MAKERS = {"email": _email, "secret": _secret, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone}
 
 
 def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -155,7 +179,9 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     1800 to 2199) and phone numbers go through a Feistel permutation of all values of their
     format, so a pseudonym is valid again, equal values have equal pseudonyms in all documents,
     and different values different ones. E-mail addresses and secrets become keyed digests.
-    What fails its validation is left as it is.
+    Phones are grouped 3-3-4, international with a plus, or ten digits in one piece that may be
+    a North American number. A card beside other numbers is found at the borders of groups of
+    digits. What fails its validation is left as it is.
 
     Result: doc_id, text, and n_<kind> (replaced) for each kind; one row per input row, no
     shuffle.
@@ -170,12 +196,14 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     some = F.col("text").rlike("[0-9@=:]")
     rows = rows.withColumn("found", F.when(some, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
     kind = "case " + " ".join(f"when x rlike {_quoted('^(?:' + _alone(PATTERNS[k]) + ')$')} then '{k}'" for k in KINDS) + " end"
-    new = "case y.kind " + " ".join(f"when '{k}' then {_MAKERS[k]('y.x', quoted)}" for k in KINDS) + " end"
-    named = f"transform(transform(found, x -> named_struct('x', x, 'kind', {kind})), y -> named_struct('x', y.x, 'kind', y.kind, 'new', {new}))"
-    rows = rows.withColumn("made", F.expr(f"if(size(found) = 0, cast(array() as array<struct<x:string,kind:string,new:string>>), {named})"))
+    new = "case y.kind " + " ".join(f"when '{k}' then {make('y.x', quoted)}" for k, make in _MAKERS.items()) + " end"
+    made = f"if(y.kind = 'card', {_cards('y.x', quoted)}, named_struct('out', {new}, 'n', 1))"
+    made = _let("z", made, "named_struct('x', y.x, 'kind', y.kind, 'new', if(z.n > 0, z.out, null), 'n', z.n)")
+    named = f"transform(transform(found, x -> named_struct('x', x, 'kind', {kind})), y -> {made})"
+    rows = rows.withColumn("made", F.expr(f"if(size(found) = 0, cast(array() as array<struct<x:string,kind:string,new:string,n:int>>), {named})"))
     whole = F.expr("array_join(zip_with(gaps, made, (g, m) -> concat(g, coalesce(m.new, m.x, ''))), '')")
     rows = rows.withColumn("gaps", F.when(F.size("found") > 0, F.split("text", every, -1)))
-    counts = [F.expr(f"size(filter(made, m -> m.kind = '{k}' and m.new is not null))").alias(f"n_{k}") for k in KINDS]
+    counts = [F.expr(f"aggregate(filter(made, m -> m.kind = '{k}' and m.new is not null), 0, (n, m) -> n + m.n)").alias(f"n_{k}") for k in KINDS]
     return rows.select("doc_id", F.when(F.size("found") > 0, whole).otherwise(F.col("text")).alias("text"), *counts)
 
 

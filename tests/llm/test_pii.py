@@ -120,3 +120,28 @@ def test_clean_texts_and_edges(spark):
     assert [r.n_ip for r in got if r.doc_id is None] == [1]
     assert len({r.text for r in got if r.doc_id == 51}) == 1
     assert pseudonymize(frame(spark, []), KEY).count() == 0
+
+
+def test_cards_beside_other_numbers(spark):
+    card, other = "4111111111111111", "5500005555555559"
+    grouped = " ".join(card[i:i + 4] for i in range(0, 16, 4))
+    cases = [
+        (f"{card} 12/25", 1), (f"{grouped} 123", 1), (f"12 {card}", 1), (f"123 456 {grouped}", 1), (f"2024 {grouped}", 1), (f"{grouped} {other}", 2),
+        (f"{grouped} {grouped}", 2), (f"{card}-123", 1), (f"{grouped.replace(' ', '-')} 123", 1), (f"12 34 {card} 56 78", 1), (f"{card} {other}", 2), ("3782 822463 10005 1234", 1)]
+    for r in pseudonymize(frame(spark, [(k, x) for k, (x, _) in enumerate(cases)]), KEY).collect():
+        x, n = cases[r.doc_id]
+        assert r.n_card == n, (x, r.text)
+        assert "4111111111111111" not in re.sub(r"\D", "", r.text) and other not in r.text and "82246310005" not in re.sub(r"\D", "", r.text), (x, r.text)
+        assert re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", x)
+    for tail in (f"{grouped} 555 123 4567", f"{grouped} 123-45-6789"):
+        r = pseudonymize(frame(spark, [(1, tail)]), KEY).first()
+        assert r.n_card == 1 and r.n_phone + r.n_ssn == 1, r
+
+
+def test_phones_of_other_groupings(spark):
+    phones = ["+44 20 7946 0958", "1-555-123-4567", "5551234567".replace("5551", "5552"), "+45 12 34 56 78", "+49 (30) 1234567", "+33 1 23 45 67 89", "+4512345678", "1 555 123 4567"]
+    plain = ["1700000000", "0.5552234567", "5552234567.5", "id=5552234567", "+12 apples", "+1 234", "a+44 20 7946 0958"]
+    for r in pseudonymize(frame(spark, [(k, f"call {x} now") for k, x in enumerate(phones + plain)]), KEY).collect():
+        x = (phones + plain)[r.doc_id]
+        assert (r.n_phone == 1 and r.text != f"call {x} now") == (x in phones), (x, r.text)
+        assert re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", f"call {x} now")
