@@ -179,6 +179,17 @@ def rolling_metrics(a: DataFrame) -> DataFrame:
     return out.unionByName(opr)
 
 
+def spread_and_tours(d: DataFrame, a: DataFrame) -> DataFrame:
+    """depot, date, design, comp_m, tour_km: mean distance of parcels to the median point of their
+    district, and the tour estimates of all districts together. Couriers have their own parcels."""
+    day = d.filter("dow < 5 AND m > 1").select("depot", "date", "bu", "x", "y", F.col("cid").cast("int").alias("cid"))
+    plan = a.filter("design <> 'OPR'").select("depot", "date", "design", "bu", "k")
+    p = day.join(plan, ["depot", "date", "bu"]).select("depot", "date", "design", "k", "x", "y").unionByName(
+        day.select("depot", "date", F.lit("OPR").alias("design"), F.col("cid").alias("k"), "x", "y"))
+    tours = tour_estimates(p).groupBy("depot", "date", "design").agg(F.sum("bhh_km").alias("tour_km"))
+    return districts.compactness(p).join(tours, ["depot", "date", "design"])
+
+
 def identity_labels(d: DataFrame, seed: int = 0) -> DataFrame:
     """Daily plain k-means with as many clusters as couriers: labels by arbitrary cluster number
     (random) and by slots matched to the days before (aligned). A fold over a depot's days."""

@@ -124,7 +124,7 @@ def hungarian_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_pen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimal-change rebalancing and its solver log."""
     d, plans = _plans(spark, sf_dir)
-    return policies.rebalanced(plans, policies.day_loads(d), time_limit=1.0).drop("sec", "gap")
+    return policies.rebalanced(plans, policies.day_loads(d)).drop("sec")
 
 
 @query()
@@ -151,12 +151,19 @@ def policy_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fix.unionByName(day).withColumn("nvar", F.col("n") * F.col("n_districts"))
 
 
+def _measured(d: DataFrame, side: float, target: float, **how) -> DataFrame:
+    a = policies.rolling(d, side, target, **how).cache()  # read by every measure
+    return policies.rolling_metrics(a).join(policies.spread_and_tours(d, a), ["depot", "date", "design"], "left")
+
+
 @query()
 def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All policies over the evaluation window, measured."""
+    """All policies over the evaluation window, measured, with plans learnt anew each month and
+    with those of the first month only."""
     d = _d(spark, sf_dir)
-    a = policies.rolling(d, SIDE, _target(d), lambdas=(1000.0,), time_limit=1.0)
-    return policies.rolling_metrics(a.cache())  # read by every measure
+    target = _target(d)
+    month, year = (_measured(d, SIDE, target, annual=annual).withColumn("annual", F.lit(annual)) for annual in (False, True))
+    return month.unionByName(year)
 
 
 @query()

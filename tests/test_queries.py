@@ -83,3 +83,15 @@ def test_stability_of_one_courier_and_one_day(spark):
     d = fx.deliv(spark, SF).filter("dow < 5").limit(1)
     row = stability.stability(d).first()
     assert row.parcels == 1 and row.couriers == 1 and row.drift_med is None and row.prev_month_mode_share is None
+
+
+def test_rolling_metrics_has_all_policies_modes_and_measures(spark):
+    m = QUERIES["rolling_metrics"](spark, SF).cache()
+    want = {"FIX", "DWS", "DCS", "OPR", "PEN250", "PEN1000", "PEN5000"}
+    assert {(r.design, r.annual) for r in m.select("design", "annual").distinct().collect()} == {(x, y) for x in want for y in (False, True)}
+    assert m.filter("comp_m IS NULL OR tour_km IS NULL OR comp_m < 0 OR tour_km < 0").isEmpty()
+    assert m.groupBy("depot", "date", "design", "annual").count().filter("count > 1").isEmpty()
+
+
+def test_policy_pen_tells_gap_and_status(spark):
+    assert {"gap", "status", "fallback"} <= set(QUERIES["policy_pen"](spark, SF).columns)
