@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ from haulgrid.plans.queries_designs import PAIRS, grid_edges, grid_nodes
 from haulgrid.plans.registry import query
 from haulgrid.sources import bu_loads
 from haulgrid.sources import fixtures as fx
+from haulgrid.sources.stage import cut
 
 #: Cells of 1,000 m and a target that suits the stand-in data.
 SIDE, TARGET = 1000.0, 10.0
@@ -168,18 +171,25 @@ def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plan balance for other cells, targets and engines."""
+    """All policies (penalty 1000) on every test day, and the balance of the plans they start
+    from, for other cells, targets, seeds and engines."""
+    return _sensitivity(spark, sf_dir)
+
+
+def _sensitivity(spark, sf_dir, sides=(1000.0, 1500.0), factors=(1.0, 1.5), seeds=(42, 1, 2, 3), engines=("mcf", "greedy", "wvor")) -> DataFrame:
     out = None
-    for side in (1000.0, 1500.0):
+    for side in sides:
         d = fx.deliv(spark, sf_dir, side)
         base = _target(d)
-        for factor in (1.0, 1.5):
-            for engine in ("mcf", "greedy"):
-                plans = policies.fix_plans(policies.units_for_plan(d, side, base * factor), engine)
-                load = plans.filter("trained").groupBy("depot", "train", "k").agg(F.sum("w").alias("load"))
-                part = districts.plan_balance(load, ("depot", "train")).select(
-                    F.lit(side).alias("side"), F.lit(factor).alias("target_factor"), F.lit(engine).alias("engine"), "*")
-                out = part if out is None else out.unionByName(part)
+        for factor, seed, engine in product(factors, seeds, engines):
+            plans = policies.fix_plans(policies.units_for_plan(d, side, base * factor), engine, seed=seed)
+            load = plans.filter("trained").groupBy("depot", "train", "k").agg(F.sum("w").alias("load"))
+            days = policies.day_loads(d).select("depot", "train", "date").distinct()
+            balance = days.join(districts.plan_balance(load, ("depot", "train")), ["depot", "train"])
+            part = _measured(d, side, base * factor, engine=engine, seed=seed, lambdas=(1000.0,)).join(balance, ["depot", "date"]).select(
+                F.lit(side).alias("side"), F.lit(factor).alias("target_factor"), F.lit(seed).alias("seed"), F.lit(engine).alias("engine"), "*")
+            part = cut(part)  # else the plan grows with the grid
+            out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -95,3 +95,12 @@ def test_rolling_metrics_has_all_policies_modes_and_measures(spark):
 
 def test_policy_pen_tells_gap_and_status(spark):
     assert {"gap", "status", "fallback"} <= set(QUERIES["policy_pen"](spark, SF).columns)
+
+
+def test_sensitivity_has_test_days_of_all_policies(spark):
+    from haulgrid.plans.queries_kernels import _sensitivity
+
+    got = _sensitivity(spark, SF, sides=(1500.0,), factors=(1.0,), seeds=(1,), engines=("wvor",)).cache()
+    assert {r.design for r in got.select("design").distinct().collect()} == {"FIX", "DWS", "DCS", "OPR", "PEN1000"}
+    assert {"side", "target_factor", "seed", "engine", "inband", "cont", "tour_km", "comp_m", "plan_maxdev"} <= set(got.columns)
+    assert got.filter("date IS NULL OR inband IS NULL").isEmpty()
