@@ -144,14 +144,19 @@ def policy_dcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def policy_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds of each solver call, with its size."""
+    """Seconds of each solver call, with its size; of the rebalancing also status, fallback and
+    the certificate that a unit above the upper bound makes the day infeasible."""
     d, plans = _plans(spark, sf_dir)
     loads = policies.day_loads(d)
     fix = plans.groupBy("depot", "train").agg(F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"), F.max("n_districts").alias("n_districts")).select(
         "depot", "train", F.lit(None).cast("date").alias("date"), F.lit("FIX").alias("step"), "sec", "n", "n_districts")
     day = policies.daily(plans, loads).groupBy("depot", "train", "date", F.col("design").alias("step")).agg(
         F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"), (F.max("k") + 1).alias("n_districts"))
-    return fix.unionByName(day).withColumn("nvar", F.col("n") * F.col("n_districts"))
+    sizes = plans.groupBy("depot", "train").agg(F.max("n_districts").alias("n_districts"))
+    pen = policies.rebalanced(plans, loads).groupBy("depot", "train", "date", F.col("design").alias("step")).agg(
+        F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"), F.max("status").alias("status"), F.max("fallback").alias("fallback"),
+        F.max("max_bu_over_hi").alias("max_bu_over_hi"), (F.max("max_bu_over_hi") > 1).alias("cert")).join(sizes, ["depot", "train"])
+    return fix.unionByName(day).unionByName(pen, allowMissingColumns=True).withColumn("nvar", F.col("n") * F.col("n_districts"))
 
 
 def _measured(d: DataFrame, side: float, target: float, **how) -> DataFrame:

@@ -104,3 +104,11 @@ def test_sensitivity_has_test_days_of_all_policies(spark):
     assert {r.design for r in got.select("design").distinct().collect()} == {"FIX", "DWS", "DCS", "OPR", "PEN1000"}
     assert {"side", "target_factor", "seed", "engine", "inband", "cont", "tour_km", "comp_m", "plan_maxdev"} <= set(got.columns)
     assert got.filter("date IS NULL OR inband IS NULL").isEmpty()
+
+
+def test_timing_has_the_rebalancing(spark):
+    got = QUERIES["policy_timing"](spark, SF).cache()
+    pen = got.filter("step LIKE 'PEN%'")
+    assert {r.step for r in got.select("step").distinct().collect()} == {"FIX", "DWS", "DCS", "PEN250", "PEN1000", "PEN5000"}
+    assert pen.filter("sec IS NULL OR status IS NULL OR fallback IS NULL OR cert IS NULL OR nvar <> n * n_districts").isEmpty()
+    assert pen.filter("cert AND NOT fallback").isEmpty()
