@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulgrid.functions import geo
+from haulgrid.functions.roads import speed_variants
 from haulgrid.operators import designs, districts, policies, roads, routing, statistics
 from haulgrid.operators.kernels import assignment as A
 from haulgrid.operators.kernels import clusters as C
@@ -255,8 +256,10 @@ def _stops(spark, sf_dir) -> DataFrame:
     return placed.select(part[0].alias("depot"), part[1].alias("o"), "node").unionByName(home)
 
 
-def _od(spark, sf_dir, weight="length") -> DataFrame:
-    return routing.od_matrix(_stops(spark, sf_dir), grid_nodes(spark), roads.merge_parallel(grid_edges(spark)), weight)
+def _od(spark, sf_dir, weight="length", times="tt_mapped") -> DataFrame:
+    edges = roads.merge_parallel(grid_edges(spark))
+    edges = edges.withColumn("tt_s", speed_variants(F.col("length_m"), F.col("tt_s"))[times])
+    return routing.od_matrix(_stops(spark, sf_dir), grid_nodes(spark), edges, weight)
 
 
 @query(rounded="km min")
@@ -266,10 +269,14 @@ def od_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return short.select("depot", "o", "d", "km").join(fast.select("depot", "o", "d", "min"), ["depot", "o", "d"])
 
 
-@query(rounded="km min")
+@query(rounded="km min min_uniform25 min_congested")
 def od_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Shortest ways, and among them the quickest."""
-    return _od(spark, sf_dir)
+    """Shortest ways, and among them the quickest, for each of the travel models."""
+    out = _od(spark, sf_dir)
+    for model in ("uniform25", "congested"):
+        own = _od(spark, sf_dir, times=f"tt_{model}").select("depot", "o", "d", F.col("min").alias(f"min_{model}"))
+        out = out.join(own, ["depot", "o", "d"])
+    return out
 
 
 @query(rounded="circ time_ratio")
@@ -291,7 +298,9 @@ def _assign(spark, sf_dir) -> DataFrame:
 def _variants(spark, sf_dir) -> DataFrame:
     od = _od(spark, sf_dir)
     slow = od.withColumn("min", F.col("km") / 25 * 60)
-    return od.withColumn("variant", F.lit("base")).unionByName(slow.withColumn("variant", F.lit("uniform25")))
+    congested = _od(spark, sf_dir, times="tt_congested")
+    return od.withColumn("variant", F.lit("base")).unionByName(slow.withColumn("variant", F.lit("uniform25"))).unionByName(
+        congested.withColumn("variant", F.lit("congested")))
 
 
 @query(rounded="route_km route_min")
@@ -301,7 +310,7 @@ def route_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rounded="route_km route_min")
 def route_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two speed variants and two seeds."""
+    """Three speed variants and two seeds."""
     return routing.routes(_assign(spark, sf_dir), _variants(spark, sf_dir), seeds=(0, 1))
 
 

@@ -112,3 +112,13 @@ def test_timing_has_the_rebalancing(spark):
     assert {r.step for r in got.select("step").distinct().collect()} == {"FIX", "DWS", "DCS", "PEN250", "PEN1000", "PEN5000"}
     assert pen.filter("sec IS NULL OR status IS NULL OR fallback IS NULL OR cert IS NULL OR nvar <> n * n_districts").isEmpty()
     assert pen.filter("cert AND NOT fallback").isEmpty()
+
+
+def test_travel_models_cost_the_same_ways(spark):
+    from haulgrid.plans.queries_kernels import _variants
+
+    od = QUERIES["od_lex"](spark, SF).cache()
+    assert not od.filter("km > 0").isEmpty() and od.filter("km > 0 AND (abs(min_uniform25 - km / 25 * 60) > 1e-5 OR min_congested <= min)").isEmpty()
+    v = _variants(spark, SF).cache()
+    assert {r.variant for r in v.select("variant").distinct().collect()} == {"base", "uniform25", "congested"}
+    assert v.groupBy("depot", "o", "d").agg(F.count_distinct("km").alias("n")).filter("n > 1").isEmpty()
