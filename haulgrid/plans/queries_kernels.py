@@ -360,8 +360,13 @@ def route_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rounded="mean_diff boot_lo boot_hi p_week_wilcoxon")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = statistics.week_sums(designs.pair_differences(fx.metrics(spark, sf_dir), "inband", PAIRS))
-    return routing.cluster_bootstrap(weeks, draws=2000)
+    """Each measure's intervals by themselves, of 5,000 draws."""
+    metrics, out = fx.metrics(spark, sf_dir), None
+    for name in ("inband", "cv", "total_km", "cont"):
+        weeks = statistics.week_sums(designs.pair_differences(metrics, name, PAIRS))
+        part = routing.cluster_bootstrap(weeks).withColumn("metric", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query(rounded="p")

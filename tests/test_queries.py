@@ -122,3 +122,9 @@ def test_travel_models_cost_the_same_ways(spark):
     v = _variants(spark, SF).cache()
     assert {r.variant for r in v.select("variant").distinct().collect()} == {"base", "uniform25", "congested"}
     assert v.groupBy("depot", "o", "d").agg(F.count_distinct("km").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_bootstrap_has_all_measures(spark):
+    got = QUERIES["cluster_bootstrap"](spark, SF).cache()
+    assert {r.metric for r in got.select("metric").distinct().collect()} == {"inband", "cv", "total_km", "cont"}
+    assert got.groupBy("metric", "comp", "scope").count().filter("count > 1").isEmpty()
