@@ -7,14 +7,19 @@ for words: of the two halves of a line's words, one stays when a single word cha
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haulgrid.llm.common import texts
-
+from haulgrid.llm.common import drop_path, materialize, texts
 
 #: What a line or text with a word has.
 WORDS = r"[^\x20\x09-\x0D]"
+#: Stretches into which a line of a crowded group is cut, one of which may differ.
+CHUNKS = 16
+#: Most wanted lines (their ids and places, some 60 bytes each) that go to all tasks.
+BROADCAST_LINES = 200_000
 
 
 def segment_starts(length: Column, t: int) -> list[tuple[Column, Column]]:
@@ -31,26 +36,24 @@ def _key(length: Column, i: int, piece: Column) -> Column:
     return F.xxhash64(length.cast("int"), F.lit(i), piece)
 
 
-def index_keys(line: Column, length: Column, t: int) -> Column:
+def index_keys(line: Column, length: Column, t: int) -> list[Column]:
     """Keys of a line's own segments."""
-    return F.array(*[_key(length, i, F.substring(line, p + 1, n)) for i, (p, n) in enumerate(segment_starts(length, t))])
+    return [_key(length, i, F.substring(line, p + 1, n)) for i, (p, n) in enumerate(segment_starts(length, t))]
 
 
-def probe_keys(line: Column, length: Column, t: int, least: int) -> Column:
-    """Keys of the substrings at which an indexed line of equal or smaller length may have its
-    i-th segment: the multi-match-aware window, i steps around the segment's start and at most
-    t - i edits after it."""
+def probe_keys(line: Column, length: Column, t: int, least: int) -> list[Column]:
+    """Keys of the substrings, other than its own segments, at which an indexed line of equal or
+    smaller length may have its i-th segment: the multi-match-aware window, i steps around the
+    segment's start and at most t - i edits after it. Null where there is none."""
     keys = []
     for gap in range(t + 1):
         other = length - gap
         for i, (p, n) in enumerate(segment_starts(other, t)):
             for d in range(-i, i + 1):
-                if abs(d - gap) > t - i:
-                    continue
-                fits = (other >= least) & (p + d >= 0) & (p + d + n <= length)
-                key = _key(other, i, F.substring(line, p + d + 1, n))
-                keys.append(F.when(fits, F.struct(key.alias("key"), F.lit(gap == 0).alias("same"))))
-    return F.array_compact(F.array(*keys))
+                if abs(d - gap) <= t - i and (gap or d):
+                    fits = (other >= least) & (p + d >= 0) & (p + d + n <= length)
+                    keys.append(F.when(fits, _key(other, i, F.substring(line, p + d + 1, n))))
+    return keys
 
 
 def word_count(line: Column) -> Column:
@@ -63,22 +66,31 @@ def _half(line: Column, words: Column, i: int) -> Column:
     return F.call_function("substring_index", line, F.lit(" "), words if i == 0 else -words)
 
 
-def word_keys(line: Column, words: Column) -> Column:
-    """Keys of the two halves of a line's words; apart from those of characters by their place."""
-    head = F.floor(words / 2).cast("int")
-    return F.array(*[_key(words, -1 - i, _half(line, n, i)) for i, n in enumerate((head, words - head))])
+def word_keys(line: Column, words: Column, gap: int = 0) -> list[Column]:
+    """Keys of the two halves of a line's words, apart from those of characters by their place;
+    with a gap, of the halves that a line of so many words fewer may share with this one."""
+    other = words - gap
+    head = F.floor(other / 2).cast("int")
+    return [_key(other, -1 - i, _half(line, n, i)) for i, n in enumerate((head, other - head))]
 
 
-def word_probe_keys(line: Column, words: Column, least: int) -> Column:
-    """Keys of the halves that a line of as many words, or one fewer, may share with this one."""
-    keys = []
-    for gap in (0, 1):
-        other = words - gap
-        head = F.floor(other / 2).cast("int")
-        for i, n in enumerate((head, other - head)):
-            probe = F.struct(_key(other, -1 - i, _half(line, n, i)).alias("key"), F.lit(gap == 0).alias("same"))
-            keys.append(F.when(other >= least, probe))
-    return F.array_compact(F.array(*keys))
+def line_keys(line: Column, t: int, least: int, least_words: int | None = None) -> Column:
+    """Array of (key, own) of a line: own segments, and the places where it may hold those of
+    another line. Two lines that are alike share a key that is the own of one at least.
+
+    One edited character changes one word, or splits or joins two, so halves of words also find
+    pairs within one edit: for t = 1, lines of more than ``least_words`` words need no other keys.
+    """
+    n, words = F.char_length(line).cast("int"), word_count(line)
+    own, probe = index_keys(line, n, t), probe_keys(line, n, t, least)
+    if least_words is not None:
+        least_words = max(least_words, 2)
+        if t == 1:
+            own, probe = ([F.when(words <= least_words, k) for k in keys] for keys in (own, probe))
+        own += [F.when(words >= least_words, k) for k in word_keys(line, words)]
+        probe += [F.when(words > least_words, k) for k in word_keys(line, words, 1)]
+    pair = [F.when(k.isNotNull(), F.struct(k.alias("key"), F.lit(mine).alias("own"))) for mine, keys in ((True, own), (False, probe)) for k in keys]
+    return F.array_distinct(F.array_compact(F.array(*pair)))
 
 
 def word_within(a: str, b: str) -> Column:
@@ -128,49 +140,154 @@ def edit_within(a: str, b: str, t: int) -> Column:
     """)
 
 
-def near_lines(distinct: DataFrame, t: int, least: int, least_words: int | None = None) -> DataFrame:
-    """Pairs (a, b) of different lines within t edits, or of ``least_words`` words or more each
-    and within one word, each pair once.
+def _grid(of: str, gap: int, words: bool) -> str:
+    """Rows (class, own, mid) of table ``of``: for each of CHUNKS stretches of a line's words or
+    characters, a hash of all that is outside of it, and the stretch. With a gap the grid is
+    that of a line with one word or character fewer, whose stretch is shorter by that one."""
+    n = "words" if words else "n"
+    head, tail = "k.o * k.q div {c}".format(c=CHUNKS), "k.o - k.o * (k.q + 1) div {c}".format(c=CHUNKS)
+    if words:
+        before, after = f"substring_index(line, ' ', cast({head} as int))", f"substring_index(line, ' ', -cast({tail} as int))"
+        cut = f"if({head} > 0, 1, 0)", f"if({tail} > 0, 1, 0)"
+    else:
+        before, after = f"left(line, cast({head} as int))", f"right(line, cast({tail} as int))"
+        cut = "0", "0"
+    open_ = f"k.o * (k.q + 1) div {CHUNKS} > k.o * k.q div {CHUNKS}"
+    return f"""
+        SELECT id, place, xxhash64({-1 if words else 0}, o, q, before, after) AS class, {"false" if gap else "true"} AS own, {words} AS words,
+               substr(line, char_length(before) + {cut[0]} + 1, char_length(line) - char_length(before) - char_length(after) - {cut[0]} - {cut[1]}) AS mid,
+               k
+        FROM (SELECT id, place, line, k, k.o, k.q, {before} AS before, {after} AS after
+              FROM (SELECT id, place, line, explode(transform(sequence(0, {CHUNKS - 1}), q -> named_struct('o', cast({n} - {gap} as bigint), 'q', cast(q as bigint)))) AS k
+                    FROM {of})
+              WHERE {open_})
+    """
 
-    ``distinct`` has (h, line): lines of ``least`` characters or more, once each, and a 64-bit
-    hash of the line by which it is partitioned. Segment rows carry only that hash; the lines
-    come back for candidate pairs alone, from the same exchange.
 
-    One edited character changes one word, or splits or joins two, so halves of words also find
-    pairs within one edit: for t = 1, lines of more than ``least_words`` words need no other keys.
+def _classes(lines: DataFrame, least: int, least_words: int | None) -> DataFrame:
+    """(class, own, id, place, words, mid): lines that are alike share a class, as members whose
+    stretches are all that differs. Two such members are alike if their stretches are."""
+    n, words = F.char_length("line"), word_count(F.col("line"))
+    rows = lines.select("id", "place", "line", n.cast("int").alias("n"), words.alias("words"))
+    spark, out = lines.sparkSession, None
+    for by_words in (False, True) if least_words is not None else (False,):
+        for gap in (0, 1):
+            if by_words:
+                some = rows.filter(F.col("words") >= least_words + gap)
+            else:
+                some = rows.filter(F.col("n") >= least + gap)
+                some = some if least_words is None else some.filter(F.col("words") <= least_words + gap)
+            part = spark.sql(_grid("{some}", gap, by_words), some=some).drop("k")
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+#: Of a stretch: all but one character or word of it, told apart by what is open. Own members
+#: have the shorter stretch, so they also meet the others' stretches less one.
+_LEAVES = """
+    concat(
+        transform(places, p -> xxhash64(class, 'one', left(mid, p - 1), substr(mid, p + 1))),
+        if(own, array(xxhash64(class, 'less', mid)), transform(places, p -> xxhash64(class, 'less', concat(left(mid, p - 1), substr(mid, p + 1))))),
+        if(words, transform(sequence(1, parts), p -> transform(array(named_struct('l', substring_index(mid, ' ', p - 1), 'r', substring_index(mid, ' ', p - parts))), z ->
+            if(own, xxhash64(class, 'word', p, z.l, z.r), xxhash64(class, 'less', concat(z.l, if(p > 1 and p < parts, ' ', ''), z.r))))[0]), array()))
+"""
+
+
+def _class_pairs(lines: DataFrame, bound: int, least: int, least_words: int | None) -> DataFrame:
+    """Candidate pairs for one edit among lines of crowded groups, linear in their number.
+
+    Lines are keyed again by all but one stretch of them. Where such a class is crowded too, by
+    all but one character or word: lines that share this are alike, so each needs to meet only
+    the earliest of them, and the earliest that is longer or shorter by the open one.
     """
-    line, n, words = F.col("line"), F.col("n"), F.col("words")
-    rows = distinct.select("h", "line", F.char_length("line").cast("int").alias("n"), word_count(F.col("line")).alias("words"))
-    index_of, probe_of = index_keys(line, n, t), probe_keys(line, n, t, least)
-    if least_words is not None:
-        least_words = max(least_words, 2)
-        chars = words <= least_words if t == 1 else F.lit(True)
-        index_of = F.flatten(F.array_compact(F.array(F.when(chars, index_of), F.when(words >= least_words, word_keys(line, words)))))
-        probe_of = F.flatten(F.array_compact(F.array(
-            F.when(chars, probe_of), F.when(words >= least_words, word_probe_keys(line, words, least_words)))))
-    index = rows.select(F.col("h").alias("hi"), F.explode(index_of).alias("key"))
-    probe = rows.select(F.col("h").alias("hp"), F.explode(probe_of).alias("probe"))
-    probe = probe.select("hp", "probe.key", "probe.same")
-    wanted = (F.col("hi") < F.col("hp")) | ((F.col("hi") != F.col("hp")) & ~F.col("same"))
-    candidates = index.join(probe, (index.key == probe.key) & wanted)
-    if least_words is not None:  # a pair may come one way round by characters and the other by words
-        candidates = candidates.select(F.least("hi", "hp").alias("hi"), F.greatest("hi", "hp").alias("hp"))
-    candidates = candidates.select("hi", "hp").distinct()
-    pairs = candidates.join(distinct.select(F.col("h").alias("hi"), F.col("line").alias("a")), "hi")
-    pairs = pairs.join(distinct.select(F.col("h").alias("hp"), F.col("line").alias("b")), "hp")
-    near = (F.abs(F.char_length("a") - F.char_length("b")) <= t) & edit_within("a", "b", t)
+    classes = _classes(lines, least, least_words)
+    sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("int")).alias("owns")).filter("n > 1 AND owns > 0")
+    k = F.xxhash64("class").alias("key")  # a key of its own, see duplicate_lines
+    classes = classes.withColumn("key", k).join(sizes.select(k, "n"), "key")
+    pairs = _pairs(classes.filter(F.col("n") <= bound))
+    parts = F.size(F.split("mid", " ", -1)).alias("parts")
+    places = F.expr("if(mid = '', array(), sequence(1, char_length(mid)))").alias("places")  # a word may be empty
+    crowded = classes.filter(F.col("n") > bound).select("id", "place", "class", "own", "words", "mid", places, parts)
+    who = F.struct("place", "id")
+    leaves = crowded.select("id", "own", who.alias("who"), F.explode(F.array_distinct(F.expr(_LEAVES))).alias("leaf"))
+    firsts = leaves.groupBy("leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("own"), F.col("who"))).alias("own"), F.min(F.when(~F.col("own"), F.col("who"))).alias("other"))
+    k = F.xxhash64("leaf").alias("k")
+    firsts = firsts.filter("n > 1").select(k, F.explode(F.array_compact(F.array("own.id", "other.id"))).alias("b"))
+    stars = leaves.select(k, F.col("id").alias("a")).join(firsts, "k").filter("a <> b").select("a", "b")
+    return pairs.unionByName(stars)
+
+
+def _pairs(members: DataFrame) -> DataFrame:
+    """All pairs of a group's members of which one has the key as its own."""
+    a = members.filter("own").select("key", F.col("id").alias("a"))
+    b = members.select("key", F.col("id").alias("b"), "own")
+    return a.join(b, "key").filter((F.col("a") < F.col("b")) | ((F.col("a") != F.col("b")) & ~F.col("own"))).select("a", "b")
+
+
+def near_pairs(lines: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: int, least: int, least_words: int | None = None,
+               pair_bound: int = 32) -> tuple[DataFrame, list[str]]:
+    """Pairs (a, b) of rows (id, place, line) of different lines within t edits, or of
+    ``least_words`` words or more each and within one word; and the folders to delete after use.
+
+    ``lines`` has (id, place, keys), each line once; ``fetch`` gives (id, place, line) for the
+    (id, place) of those that share a key with another: only these travel as texts.
+
+    For t = 1, groups of up to ``pair_bound`` lines with a common key give all their pairs, and
+    larger ones the pairs of each line with the earliest of every class of lines that differ in
+    the same place: a line that has an earlier like line is still paired with one such. So the
+    number of pairs is linear in the size of groups. For a larger t it isn't.
+    """
+    keyed = lines.select("id", "place", F.explode("keys").alias("k")).select("id", "place", F.xxhash64("k.key").alias("key"), "k.own")
+    sizes = lines.select(F.explode("keys").alias("k")).groupBy("k.key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("k.own").cast("int")).alias("owns")).filter("n > 1 AND owns > 0")
+    members, groups = materialize(keyed.join(sizes.select(F.xxhash64("key").alias("key"), "n"), "key"), "line-groups")
+    found, path = materialize(fetch(members.select("id", "place").distinct()), "lines")
+    if t > 1 or members.filter(F.col("n") > pair_bound).isEmpty():
+        pairs = _pairs(members)
+    else:
+        crowded = members.filter(F.col("n") > pair_bound).select("id").distinct()
+        pairs = _pairs(members.filter(F.col("n") <= pair_bound)).unionByName(_class_pairs(found.join(crowded, "id"), pair_bound, least, least_words))
+    pairs = pairs.select(F.least("a", "b").alias("ia"), F.greatest("a", "b").alias("ib")).distinct()
+    row = F.struct("id", "place", "line")
+    pairs = pairs.join(found.select(F.col("id").alias("ia"), row.alias("a")), "ia").join(found.select(F.col("id").alias("ib"), row.alias("b")), "ib")
+    near = (F.abs(F.char_length("a.line") - F.char_length("b.line")) <= t) & edit_within("a.line", "b.line", t)
     if least_words is not None:
-        long = F.least(word_count(F.col("a")), word_count(F.col("b"))) >= least_words
-        near = F.when(long & word_within("a", "b"), True).otherwise(near)
-    return pairs.filter(F.col("a") != F.col("b")).filter(near).select("a", "b")
+        wa, wb = word_count(F.col("a.line")), word_count(F.col("b.line"))
+        long = F.least(wa, wb) >= least_words
+        if t == 1:  # within one character but not within one word: a word was split or two joined
+            near = near & (~long | (F.abs(wa - wb) == 1))
+        near = F.when(long & word_within("a.line", "b.line"), True).otherwise(near)
+    return pairs.filter(F.col("a.line") != F.col("b.line")).filter(near).select("a", "b"), [groups, path]
+
+
+def near_lines(distinct: DataFrame, t: int, least: int, least_words: int | None = None, pair_bound: int = 32) -> DataFrame:
+    """Pairs (a, b) of the different lines of ``distinct`` (line; ``least`` characters or more,
+    once each) that :func:`near_pairs` finds, each pair once."""
+    rows = distinct.select(_id(F.col("line")).alias("id"), F.struct("line").alias("place"), "line")
+    keyed = rows.select("id", "place", line_keys(F.col("line"), t, least, least_words).alias("keys"))
+    pairs, _ = near_pairs(keyed, lambda wanted: rows.join(wanted.select("id"), "id", "left_semi"), t, least, least_words, pair_bound)
+    return pairs.select("a.line", F.col("b.line").alias("other")).toDF("a", "b")
 
 
 def _id(line: Column) -> Column:
     return F.substring(F.unhex(F.sha2(line.cast("binary"), 256)), 1, 16)
 
 
+def _fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, place, line) of the wanted places, out of the rows' texts. Which documents that
+    concerns goes to all tasks while it is small, else both sides are dealt by document."""
+    per_doc = wanted.groupBy(F.col("place.doc_id").alias("d")).agg(F.collect_list(F.struct("id", "place")).alias("wanted"))
+    if wanted.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES:
+        per_doc = F.broadcast(per_doc)
+    joined = rows.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d"))).select(F.split("text", "\n", -1).alias("all"), "wanted")
+    lines = joined.select(F.explode(F.expr("transform(wanted, w -> named_struct('id', w.id, 'place', w.place, 'line', get(all, w.place.pos)))")).alias("w"))
+    # rows that repeat an id may have another line at that place, or the same one
+    return lines.select("w.*").filter(_id(F.col("line")) == F.col("id")).dropDuplicates(["id"])
+
+
 def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text",
-                    least_words: int | None = None, fold_short: bool = False) -> DataFrame:
+                    least_words: int | None = None, fold_short: bool = False, pair_bound: int = 32) -> DataFrame:
     """Lines to drop: a line equal to one that comes earlier, or within ``threshold`` edits of
     an earlier one, by (doc_id, line number). Lines end at \\n; shorter lines than
     ``min_chars`` characters are left alone, for few edits turn them into anything.
@@ -181,6 +298,7 @@ def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id
     Equal lines are folded map-side first, so a line of a third of all documents is one row to
     the join. "Earlier" is by first occurrence and does not ask whether the earlier line stays,
     so the result needs no iteration and every dropped line has a like one before it.
+    ``pair_bound``, see :func:`near_pairs`, does not change the result.
 
     Result: doc_id, n_lines, n_dropped, dropped (line numbers from 0, ascending); one row per
     input row.
@@ -195,18 +313,19 @@ def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id
     long = F.char_length("line") >= min_chars
     lines = lines.filter(long | F.col("line").rlike(WORDS) if fold_short else long)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
-    spots = lines.select("doc_id", "pos", _id(F.col("line")).alias("id"))
-    firsts = spots.groupBy("id").agg(F.min(place).alias("first"))
-    distinct = lines.filter(long).groupBy(F.xxhash64("line").alias("h")).agg(F.collect_set("line").alias("same"))
-    distinct = distinct.select("h", F.explode("same").alias("line"))
-    near = near_lines(distinct, threshold, min_chars, least_words).select(_id(F.col("a")).alias("ia"), _id(F.col("b")).alias("ib"))
-    near = near.join(firsts.select(F.col("id").alias("ia"), F.struct("first", "id").alias("fa")), "ia")
-    near = near.join(firsts.select(F.col("id").alias("ib"), F.struct("first", "id").alias("fb")), "ib")
-    later = near.select(F.when(F.col("fa") < F.col("fb"), F.col("ib")).otherwise(F.col("ia")).alias("id")).distinct()
-    fate = firsts.join(later.withColumn("near", F.lit(True)), "id", "left")
+    keys = F.when(long, line_keys(F.col("line"), threshold, min_chars, least_words))
+    spots = lines.select("doc_id", "pos", _id(F.col("line")).alias("id"), keys.alias("keys"))
+    firsts = spots.groupBy("id").agg(F.min(F.struct(place.alias("place"), "keys")).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = firsts.select("id", "first.place", "first.keys", "n")
+    near, paths = near_pairs(firsts.drop("n"), lambda wanted: _fetch(rows, wanted), threshold, min_chars, least_words, pair_bound)
+    order = [F.struct(F.col(f"{x}.place"), F.col(f"{x}.id")) for x in "ab"]
+    later, _ = materialize(near.select(F.when(order[0] < order[1], F.col("b.id")).otherwise(F.col("a.id")).alias("id")).distinct(), "near-lines")
+    for path in paths:
+        drop_path(docs.sparkSession, path)
+    fate = firsts.join(later.withColumn("near", F.lit(True)), "id", "left").filter("n > 1 OR near")
     # a key of its own makes both sides plain exchanges, so adaptive execution may split a common line
     key = F.hex("id").alias("k")
-    gone = spots.select(key, "doc_id", "pos").join(fate.select(key, "first", "near"), "k").filter(F.col("near") | (place != F.col("first")))
+    gone = spots.select(key, "doc_id", "pos").join(fate.select(key, F.col("place").alias("first"), "near"), "k").filter(F.col("near") | (place != F.col("first")))
     per_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")).withColumnRenamed("doc_id", "d")
     counts = rows.select("doc_id", F.size(split).alias("n_lines"))
     none = F.array().cast("array<int>")

@@ -189,3 +189,62 @@ def test_equal_short_lines_are_folded_and_near_ones_stay(spark):
     drops = duplicate_lines(docs, least_words=8, fold_short=True)
     assert {r.doc_id: r.dropped for r in drops.collect()} == {1: [4], 2: [1, 4]}
     assert {r.n_dropped for r in duplicate_lines(docs).collect()} == {0}
+
+
+def later_lines(lines, t, least, least_words=None):
+    """Of lines in order of place: those that have an earlier like one."""
+    alike = lambda a, b: abs(len(a) - len(b)) <= t and lev(a, b) <= t or least_words and one_word(a, b, least_words)
+    long = [x for x in dict.fromkeys(lines) if len(x) >= least]
+    return {b for k, b in enumerate(long) if any(alike(a, b) for a in long[:k])}
+
+
+@pytest.mark.parametrize("bound", [1, 3, 32])
+def test_crowded_groups_drop_the_same_lines(spark, bound):
+    """With a bound of 1 every pair comes from classes, none from the plain join."""
+    rnd = random.Random(30)
+    vocabulary = ["über", "a", "", "longer🙂word", "some", "other", "ab", "a b", "axb"]
+    lines = []
+    for _ in range(14):
+        words = [rnd.choice(vocabulary) for _ in range(rnd.choice([3, 5, 7, 8, 9, 12, 20, 40]))]
+        for _ in range(9):
+            own, k, new = list(words), rnd.randrange(len(words)), rnd.choice(vocabulary)
+            for _ in range(rnd.randint(0, 2)):
+                own = rnd.choice([own[:k] + [new] + own[k + 1:], own[:k] + own[k + 1:], own[:k] + [new] + own[k:], own])
+            line = " ".join(own)
+            if line and rnd.random() < 0.7:
+                line = edited(rnd, line, rnd.randint(0, 1))
+                at = rnd.randrange(len(line)) if line else 0
+                line = rnd.choice([line, line[:at] + " " + line[at:], line[:at] + " " + line[at + 1:], line.replace(" ", "", 1), line.replace(" ", "x", 1)])
+            lines.append(line)
+    rnd.shuffle(lines)
+    docs = frame(spark, [(i, "\n".join(lines[8 * i:8 * i + 8]), "s") for i in range(len(lines) // 8 + 1)])
+    got = {(r.doc_id, p) for r in duplicate_lines(docs, 1, 10, least_words=6, pair_bound=bound).collect() for p in r.dropped}
+    later, seen, want = later_lines(lines, 1, 10, 6), set(), set()
+    for k, x in enumerate(lines):
+        if len(x) >= 10 and (x in seen or x in later):
+            want.add((k // 8, k % 8))
+        seen.add(x)
+    assert got == want and len(later) > 30
+
+
+def test_thousands_of_lines_that_differ_in_one_place(spark):
+    """One class of lines: pairs grow with the lines (here also in single characters), not with their square."""
+    same = "the same words stand in all of these lines but for one of them"
+    lines = [f"{same} number {k} and then they all end alike" for k in range(5000)]
+    far = [f"{same} number {k} {k} and then they all end alike {k}" for k in range(50)]
+    df = spark.createDataFrame([(x,) for x in lines + far], "line string")
+    got = near_lines(df, 1, 20, 8).collect()
+    assert 4999 <= len(got) < 10 * 5000
+    docs = frame(spark, [(k, x, "s") for k, x in enumerate(lines + far)])
+    assert {r.doc_id: r.n_dropped for r in duplicate_lines(docs, least_words=8).collect()} == {k: int(0 < k < 5000) for k in range(5050)}
+
+
+@pytest.mark.parametrize("bound", [1, 32])
+def test_very_long_near_lines(spark, bound):
+    words = [f"w{k % 97}" for k in range(30_000)]
+    one, two = list(words), list(words)
+    one[20_000] = "changed"
+    two[100], two[29_000] = "both", "changed"
+    docs = frame(spark, [(1, " ".join(words), "s"), (2, " ".join(one), "s"), (3, " ".join(two), "s"), (4, "x" * 90_000, "s"), (5, "x" * 45_000 + "y" + "x" * 45_000, "s")])
+    got = {r.doc_id: r.n_dropped for r in duplicate_lines(docs, least_words=8, pair_bound=bound).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 1}
