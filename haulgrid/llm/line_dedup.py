@@ -74,23 +74,34 @@ def word_keys(line: Column, words: Column, gap: int = 0) -> list[Column]:
     return [_key(other, -1 - i, _half(line, n, i)) for i, n in enumerate((head, other - head))]
 
 
-def line_keys(line: Column, t: int, least: int, least_words: int | None = None) -> Column:
-    """Array of (key, own) of a line: own segments, and the places where it may hold those of
-    another line. Two lines that are alike share a key that is the own of one at least.
+def line_keys(line: Column, n: Column, words: Column, t: int, least: int, least_words: int | None = None) -> Column:
+    """Array of (key, own) of a line of ``n`` characters and so many words: own segments, and the
+    places where it may hold those of another line. Two lines that are alike share a key that is
+    the own of one at least.
 
     One edited character changes one word, or splits or joins two, so halves of words also find
     pairs within one edit: for t = 1, lines of more than ``least_words`` words need no other keys.
     """
-    n, words = F.char_length(line).cast("int"), word_count(line)
     own, probe = index_keys(line, n, t), probe_keys(line, n, t, least)
     if least_words is not None:
-        least_words = max(least_words, 2)
         if t == 1:
             own, probe = ([F.when(words <= least_words, k) for k in keys] for keys in (own, probe))
         own += [F.when(words >= least_words, k) for k in word_keys(line, words)]
         probe += [F.when(words > least_words, k) for k in word_keys(line, words, 1)]
-    pair = [F.when(k.isNotNull(), F.struct(k.alias("key"), F.lit(mine).alias("own"))) for mine, keys in ((True, own), (False, probe)) for k in keys]
-    return F.array_distinct(F.array_compact(F.array(*pair)))
+
+    def pairs(keys: list[Column], mine: bool) -> Column:
+        kept = F.array_compact(F.array(*keys))
+        return F.transform(kept if t == 1 else F.array_distinct(kept), lambda k: F.struct(k.alias("key"), F.lit(mine).alias("own")))
+
+    return F.concat(pairs(own, True), pairs(probe, False))
+
+
+def with_keys(lines: DataFrame, t: int, least: int, least_words: int | None = None) -> DataFrame:
+    """``lines`` (line, ...) with their ``keys``; none for lines of fewer than ``least`` characters."""
+    least_words = None if least_words is None else max(least_words, 2)
+    sized = lines.withColumns({"n": F.char_length("line").cast("int"), "words": word_count(F.col("line"))})
+    keys = line_keys(F.col("line"), F.col("n"), F.col("words"), t, least, least_words)
+    return sized.withColumn("keys", F.when(F.col("n") >= least, keys)).drop("n", "words")
 
 
 def word_within(a: str, b: str) -> Column:
@@ -248,7 +259,9 @@ def near_pairs(lines: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: int
     else:
         crowded = members.filter(F.col("n") > pair_bound).select("id").distinct()
         pairs = _pairs(members.filter(F.col("n") <= pair_bound)).unionByName(_class_pairs(found.join(crowded, "id"), pair_bound, least, least_words))
-    pairs = pairs.select(F.least("a", "b").alias("ia"), F.greatest("a", "b").alias("ib")).distinct()
+    # few bytes but much work: an explicit number of partitions isn't merged by adaptive execution
+    tasks = 3 * lines.sparkSession.sparkContext.defaultParallelism
+    pairs = pairs.select(F.least("a", "b").alias("ia"), F.greatest("a", "b").alias("ib")).repartition(tasks, "ia", "ib").distinct()
     row = F.struct("id", "place", "line")
     pairs = pairs.join(found.select(F.col("id").alias("ia"), row.alias("a")), "ia").join(found.select(F.col("id").alias("ib"), row.alias("b")), "ib")
     near = (F.abs(F.char_length("a.line") - F.char_length("b.line")) <= t) & edit_within("a.line", "b.line", t)
@@ -265,8 +278,8 @@ def near_lines(distinct: DataFrame, t: int, least: int, least_words: int | None
     """Pairs (a, b) of the different lines of ``distinct`` (line; ``least`` characters or more,
     once each) that :func:`near_pairs` finds, each pair once."""
     rows = distinct.select(_id(F.col("line")).alias("id"), F.struct("line").alias("place"), "line")
-    keyed = rows.select("id", "place", line_keys(F.col("line"), t, least, least_words).alias("keys"))
-    pairs, _ = near_pairs(keyed, lambda wanted: rows.join(wanted.select("id"), "id", "left_semi"), t, least, least_words, pair_bound)
+    keyed = with_keys(rows, t, least, least_words)
+    pairs, _ = near_pairs(keyed.drop("line"), lambda wanted: rows.join(wanted.select("id"), "id", "left_semi"), t, least, least_words, pair_bound)
     return pairs.select("a.line", F.col("b.line").alias("other")).toDF("a", "b")
 
 
@@ -313,18 +326,19 @@ def duplicate_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, id
     long = F.char_length("line") >= min_chars
     lines = lines.filter(long | F.col("line").rlike(WORDS) if fold_short else long)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "pos")
-    keys = F.when(long, line_keys(F.col("line"), threshold, min_chars, least_words))
-    spots = lines.select("doc_id", "pos", _id(F.col("line")).alias("id"), keys.alias("keys"))
+    spots = with_keys(lines, threshold, min_chars, least_words).select("doc_id", "pos", _id(F.col("line")).alias("id"), "keys")
     firsts = spots.groupBy("id").agg(F.min(F.struct(place.alias("place"), "keys")).alias("first"), F.count(F.lit(1)).alias("n"))
-    firsts = firsts.select("id", "first.place", "first.keys", "n")
+    firsts, _ = materialize(firsts.select("id", "first.place", "first.keys", "n"), "first-lines")
     near, paths = near_pairs(firsts.drop("n"), lambda wanted: _fetch(rows, wanted), threshold, min_chars, least_words, pair_bound)
     order = [F.struct(F.col(f"{x}.place"), F.col(f"{x}.id")) for x in "ab"]
-    later, _ = materialize(near.select(F.when(order[0] < order[1], F.col("b.id")).otherwise(F.col("a.id")).alias("id")).distinct(), "near-lines")
+    later = near.select(F.when(order[0] < order[1], F.col("b.id")).otherwise(F.col("a.id")).alias("id")).distinct()
+    later, _ = materialize(later, "near-lines")
     for path in paths:
         drop_path(docs.sparkSession, path)
-    fate = firsts.join(later.withColumn("near", F.lit(True)), "id", "left").filter("n > 1 OR near")
+    fate = firsts.select("id", "place", "n").join(later.withColumn("near", F.lit(True)), "id", "left").filter("n > 1 OR near")
     # a key of its own makes both sides plain exchanges, so adaptive execution may split a common line
     key = F.hex("id").alias("k")
+    spots = lines.select(_id(F.col("line")).alias("id"), "doc_id", "pos")
     gone = spots.select(key, "doc_id", "pos").join(fate.select(key, F.col("place").alias("first"), "near"), "k").filter(F.col("near") | (place != F.col("first")))
     per_doc = gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("dropped")).withColumnRenamed("doc_id", "d")
     counts = rows.select("doc_id", F.size(split).alias("n_lines"))
