@@ -84,13 +84,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(y, fold, text) of at most ``max_rows`` labelled rows, those with the smallest hash of
     the id: the documented bound of what the models learn from. Rows with a null id or label
-    teach nothing. ``fold`` is a hash of the id too, so copies of a row share their fold."""
+    teach nothing. Of rows that repeat an id, the text with the smallest hash teaches for all:
+    the bound holds however often an id repeats. ``fold`` is a hash of the id too."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).alias("y")).dropna()
     if where is not None:
         known = known.filter(where)
-    known = known.orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id", "y").limit(max_rows)
-    rows = texts(docs, id_col=id_col, text_col=text_col)
-    return rows.join(F.broadcast(known), "doc_id").select(
+    known = known.distinct().orderBy(F.xxhash64(F.col("doc_id"), F.lit(17)), "doc_id", "y").limit(max_rows)
+    rows = texts(docs, id_col=id_col, text_col=text_col).join(F.broadcast(known), "doc_id")
+    one = rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select(
         F.col("y").cast("int").alias("y"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(29)), F.lit(4)).cast("int").alias("fold"), "text")
 
 

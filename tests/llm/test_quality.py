@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haulgrid.llm.nbsvm import NbSvm, fit_nbsvm, indicators, nbsvm_scores
-from haulgrid.llm.ngrams import calibrate
+from haulgrid.llm.ngrams import calibrate, labelled_sample
 from haulgrid.llm.queries import QUERIES
 from haulgrid.llm.quality_rules import fit_quality_model, quality_rules, repeat_words
 
@@ -117,3 +117,74 @@ def test_held_out_accuracy_on_the_small_tables(spark, name):
         assert np.mean([r.score for r in held if r.quality]) > np.mean([r.score for r in held if not r.quality]) + 0.5
     else:
         assert np.mean([r.kept == r.quality for r in both if not r.base_failed]) >= 0.98
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark):
+    docs = frame(spark, [(1, f"copy {k % 300}") for k in range(5000)] + [(k, "some text") for k in range(2, 40)] + [(None, "no id")])
+    lab = labels(spark, [(k % 40, k % 2, "") for k in range(400)] + [(None, 1, "")])
+    for bound in (5, 10):
+        assert labelled_sample(docs, lab, "quality", bound).count() <= bound
+    whole = labelled_sample(docs, lab, "quality", 4000)
+    assert whole.count() == 39 and whole.filter("text like 'copy%'").count() == 1
+    assert sorted(whole.collect()) == sorted(labelled_sample(docs.repartition(9), lab, "quality", 4000).collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ratios_and_dual_solution_against_a_plain_solver(seed):
+    """Small dense problems: ratios by counting, the hinge loss by projected subgradients on the primal."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for k in range(60):
+        y = int(rng.random() < 0.5)
+        at = np.flatnonzero(rng.random(12) < np.where(np.arange(12) % 2 == y, 0.7, 0.3))
+        rows.append((y, 1 + k % 3, at, None))
+    rows += [(y, 0, np.array([y]), None) for y in (0, 1)]
+    model = NbSvm.fit(rows, epochs=3000, tolerance=1e-9)
+    train = [r for r in rows if r[1]]
+    size = len(model.square)
+    p, q = ([1.0 + sum(k in r[2] for r in train if r[0] == y) for k in range(12)] for y in (1, 0))
+    # the buckets without a feature count one each, as all do
+    ratio = np.log((np.array(p) / (sum(p) + size - 12)) / (np.array(q) / (sum(q) + size - 12)))
+    assert np.allclose(np.sqrt(model.square[:12]), np.abs(ratio), atol=1e-5)
+    x = np.array([[ratio[k] if k in r[2] else 0.0 for k in range(12)] for r in train])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    x, sign = np.c_[x, np.ones(len(x))], np.array([1 if r[0] else -1 for r in train])
+
+    def objective(w):
+        return w @ w / 2 + np.maximum(0, 1 - sign * (x @ w)).sum()
+
+    w, best, least = np.zeros(13), np.zeros(13), np.inf
+    for step in range(40_000):
+        grad = w - (sign * (sign * (x @ w) < 1)) @ x
+        w = w - grad / (step + 20)
+        if (now := objective(w)) < least:
+            best, least = w, now
+    got = np.append(model.scaled[:12] / np.where(ratio, ratio, 1), model.bias)
+    assert objective(got) <= least * 1.001 and np.abs(got - best).max() < 0.05
+    shown = [model.margin(r[2]) for r in train]
+    assert np.allclose(shown, x @ got, atol=1e-4)
+
+
+def test_logistic_fit_lowers_the_loss_and_matches_plain_scores(spark, corpus):
+    from haulgrid.llm.ngrams import collect_features
+    from haulgrid.llm.quality_rules import WORD_BITS, QualityModel, _pooled
+
+    docs, lab = frame(spark, [(i, t) for i, t, _ in corpus]), labels(spark, [(i, y, "") for i, _, y in corpus])
+    rows = collect_features(labelled_sample(docs, lab, "quality", 4000), _pooled)
+    model = QualityModel.fit(rows)
+    weight = np.concatenate((model.word, model.char)).astype(float)
+    loss = []
+    for w, b in ((weight, model.bias), (np.zeros_like(weight), 0.0)):
+        z = np.array([w[i] @ v + b for _, _, i, v in rows])
+        y = np.array([r[0] for r in rows])
+        loss.append(float(np.mean(np.logaddexp(0, z) - y * z)))
+    assert loss[0] < 0.4 * loss[1]
+    plain = {}
+    for i, t, _ in corpus:
+        at, v = _pooled(t)
+        assert abs(v[at < 1 << WORD_BITS].sum() - 1) < 1e-5
+        z = model.a * (float(weight[at] @ v) + model.bias) + model.b
+        plain[i] = 1 / (1 + np.exp(-z))
+    for r in quality_rules(docs, model).collect():
+        assert abs(r.probability - plain[r.doc_id]) < 1e-4
+        assert r.kept == (not r.base_failed and r.probability >= 0.5)
