@@ -16,14 +16,17 @@ class PieceMemo:
     A text is cut before every blank and line end. Where white space stands alone, no pre-token
     of the pattern crosses such a cut, so a piece (one blank or line end, then no white space)
     has the same ids whatever surrounds it; ``encode_pieces`` encodes those not held yet. A text
-    with other white space or a run of it goes to ``encode_whole``. Every text is given a line
+    with other white space or a run of it goes to ``encode_whole``, as does one that holds a
+    string of ``apart``. Every text is given a line
     end in front, whose ids are taken off again, so its first piece is like any other.
 
     The memo is a pure speed-up of bounded size, in two generations: full, it becomes the old
     one, from which frequent pieces come back, and the former old one goes.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], encode_whole: Callable[[str], bytes], limit: int = 200_000):
+    def __init__(self, encode_pieces: Callable[[list[str]], Iterable[bytes]], encode_whole: Callable[[str], bytes],
+                 limit: int = 200_000, apart: tuple[str, ...] = ()):
+        self.apart = apart
         self.whole = re.compile(f"\n?[^{WHITE}]+").fullmatch
         self.encode_pieces, self.encode_whole, self.limit = encode_pieces, encode_whole, limit
         self.lead = len(encode_whole("\n"))
@@ -35,6 +38,9 @@ class PieceMemo:
 
     def ids_many(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts; new pieces are encoded together for all of them."""
+        if self.apart and (odd := {k for k, t in enumerate(texts) if any(a in t for a in self.apart)}):
+            plain = iter(self.ids_many([t for k, t in enumerate(texts) if k not in odd]))
+            return [self.encode_whole(t) if k in odd else next(plain) for k, t in enumerate(texts)]
         if len(self.known) > self.limit:
             self.known, self.old = {}, self.known
         known, old, get = self.known, self.old, self.known.get

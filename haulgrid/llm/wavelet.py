@@ -71,15 +71,21 @@ class WaveletMatrix:
         count = int(self.ranks[level][block]) + int(np.bitwise_count(self.planes[level][start:whole]).sum())
         return count + (int(self.planes[level][whole] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
 
-    def _select(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) bit of that value in a plane."""
+    def _select(self, level: int, bit: int, k: np.ndarray) -> np.ndarray:
+        """Positions of the k-th (from 0) bits of that value in a plane, for an array of k."""
         before = self.ranks[level].astype(np.int64)
         if not bit:
             before = np.minimum(np.arange(len(before)) * BLOCK, self.n) - before
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        bits = np.unpackbits(self.planes[level][block * (BLOCK // 8):(block + 1) * (BLOCK // 8)], bitorder="little")
-        bits = bits[:self.n - block * BLOCK]
-        return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
+        block = np.searchsorted(before, k, side="right") - 1
+        own, at = np.unique(block, return_inverse=True)
+        octets = np.zeros((len(before) - 1, BLOCK // 8), np.uint8)
+        octets.reshape(-1)[:len(self.planes[level])] = self.planes[level]
+        bits = np.unpackbits(octets[own], axis=1, bitorder="little") == bit
+        if not bit:
+            bits &= own[:, None] * BLOCK + np.arange(BLOCK) < self.n
+        first = np.concatenate(([0], np.cumsum(bits.sum(1))[:-1]))
+        found = np.flatnonzero(bits)[first[at] + k - before[block]]
+        return block * BLOCK + found % BLOCK
 
     def _path(self, token: int, i: int) -> int:
         """Where the prefix [0, i) ends among the positions that share the token's bits."""
@@ -110,7 +116,16 @@ class WaveletMatrix:
         """Position of the k-th (from 0) occurrence of a token."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
-        at = self._path(token, 0) + k
+        return int(self.positions(token, k, k + 1)[0])
+
+    def positions(self, token: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """Positions of the occurrences ``first`` to ``last`` (exclusive) of a token: select from
+        the lowest plane up, for all of them at once."""
+        n = self.count(token)
+        last = n if last is None else min(last, n)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        at = self._path(token, 0) + np.arange(first, last)
         for level in range(self.width - 1, -1, -1):
             bit = token >> (self.width - 1 - level) & 1
             at = self._select(level, bit, at - self.zeros[level] if bit else at)
@@ -188,14 +203,14 @@ def _library(path: str) -> Callable[[list[str]], list[bytes]]:
     Merges never cross a pre-token, so the library is asked once for each distinct piece of
     text that a worker meets, not for each occurrence; a test holds the ids against the
     library's own encoding of whole texts. New pieces go to the library as one string with a line end
-    between each two, which before anything but white space is a pre-token of its own. Special
-    strings in a text are ordinary text.
+    between each two, which before anything but white space is a pre-token of its own. Texts that
+    hold a special token's string go to the library whole, which finds it as it always does.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True
+    added = tuple(t.content for t in model.get_added_tokens_decoder().values())
 
     def flat(text: str) -> np.ndarray:
         return np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -240,7 +255,7 @@ def _library(path: str) -> Callable[[list[str]], list[bytes]]:
             for p, c, t in zip(pieces, short, tails, strict=True)
         ]
 
-    return PieceMemo(many, lambda text: flat(text).tobytes(), limit=600_000).ids_many
+    return PieceMemo(many, lambda text: flat(text).tobytes(), limit=600_000, apart=added).ids_many
 
 
 def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[bytes]]]:
@@ -308,19 +323,21 @@ def write_shards(
     return materialize(shards, "wavelet")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32.
-
-    ``start`` counts the ids of all documents before it: a running sum over shards of a task,
-    then over tasks; both sums see only the counts, one row each.
-    """
+def _bases(shards: DataFrame) -> DataFrame:
+    """part, seq, base: the number of ids in all shards before, by a running sum over the shards
+    of a task, then over tasks; both sums see only the counts, one row each."""
     sizes = shards.select("part", "seq", "n_tokens")
     per_part = sizes.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     part_base = per_part.select(
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_base"))
     within = Window.partitionBy("part").orderBy("seq")
     bases = sizes.select("part", "seq", (F.sum("n_tokens").over(within) - F.col("n_tokens")).alias("seq_base"))
-    bases = bases.join(part_base, "part").select("part", "seq", (F.col("part_base") + F.col("seq_base")).alias("base"))
+    return bases.join(part_base, "part").select("part", "seq", (F.col("part_base") + F.col("seq_base")).alias("base"))
+
+
+def read_documents(shards: DataFrame) -> DataFrame:
+    """Per document, from the shards alone: doc_id, start, n_tokens, ids_crc32. ``start`` counts
+    the ids of all documents before it."""
 
     def run(batches):
         for b in batches:
@@ -339,32 +356,33 @@ def read_documents(shards: DataFrame) -> DataFrame:
 
     local = shards.select("part", "seq", "blob").mapInArrow(
         run, "part bigint, seq bigint, doc_id bigint, local bigint, n_tokens bigint, ids_crc32 bigint")
-    return local.join(bases, ["part", "seq"]).select(
+    return local.join(_bases(shards), ["part", "seq"]).select(
         "doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def find_token(shards: DataFrame, token: int, limit_per_shard: int | None = None) -> DataFrame:
-    """Occurrences of a token, from rank and select of each shard: part, seq, n, positions."""
+def find_tokens(shards: DataFrame, tokens: tuple[int, ...]) -> DataFrame:
+    """Occurrences of tokens from rank and select of each shard: token, base (ids before the
+    shard), n, positions within the shard (ascending). Shards without a token have no row."""
 
     def run(batches):
         for b in batches:
             for part, seq, blob in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "blob")), strict=True):
                 m = Shard.load(blob).matrix
-                n = m.count(token)
-                where = [m.locate(token, k) for k in range(n if limit_per_shard is None else min(n, limit_per_shard))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int64()), pa.array([seq], pa.int64()), pa.array([n], pa.int64()),
-                     pa.array([where], pa.list_(pa.int64()))],
-                    ["part", "seq", "n", "positions"],
-                )
+                for token in tokens:
+                    if n := m.count(token):
+                        at = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), pa.array(m.positions(token)))
+                        cols = [*(pa.array([v], pa.int64()) for v in (part, seq, token, n)), at]
+                        yield pa.RecordBatch.from_arrays(cols, ["part", "seq", "token", "n", "positions"])
 
-    return shards.select("part", "seq", "blob").mapInArrow(run, "part bigint, seq bigint, n bigint, positions array<bigint>")
+    found = shards.select("part", "seq", "blob").mapInArrow(run, "part bigint, seq bigint, token bigint, n bigint, positions array<bigint>")
+    return found.join(_bases(shards), ["part", "seq"]).select("token", "base", "n", "positions")
 
 
 def wavelet_output(docs: DataFrame, path: str, end_id: int = 2, **more) -> DataFrame:
     """Write ``docs`` as shards and return what the shards say of each document.
 
-    Null text: only the end id. Null ids come first, repeated rows keep a place each (order
+    Null text: only the end id (special tokens' strings in a text become their ids, as in the
+    library). Null ids come first, repeated rows keep a place each (order
     among equal rows is free, and their contents are equal). Empty table: no shards, no rows.
     """
     shards, _ = write_shards(docs, library_encoder(path), end_id, **more)

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from haulgrid.llm.bpe import PerfectHash, bpe_decode, bpe_encode, bpe_round_trip, codec, merge_bytes
 from haulgrid.llm.exact_dedup import exact_dedup
 from haulgrid.llm.simhash import components, fingerprint, simhash_components, tiled_links
-from haulgrid.llm.wavelet import Shard, WaveletMatrix, find_token, library_encoder, read_documents, write_shards
+from haulgrid.llm.wavelet import Shard, WaveletMatrix, find_tokens, library_encoder, read_documents, write_shards
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = ["", " ", "\n\n  x", "naïve café 日本語 🙂🙂", "it's we'll I'D", "a" * 3000, "  12345 67", "\x00\x1c\x85​﻿", "<|endoftext|> y",
@@ -95,7 +95,7 @@ def test_wavelet_matrix_against_the_plain_sequence(n):
         assert m.count(t) == (ids == t).sum() and m.count(t, 3, stop) == (ids[3:stop] == t).sum()
         where = np.flatnonzero(ids == t)
         k = int(rng.integers(0, len(where)))
-        assert m.locate(t, k) == where[k]
+        assert m.locate(t, k) == where[k] and (m.positions(t) == where).all()
     assert m.count(1000) == 0 and m.count(5000) == 0
 
 
@@ -106,7 +106,6 @@ def test_wavelet_files_hold_the_library_ids(spark):
     shards, _ = write_shards(frame(spark, rows), library_encoder(JSON), 2, shard_tokens=3000)
     got = sorted(read_documents(shards).collect(), key=lambda r: r.start)
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     flat, start = [], 0
     for r, (i, text) in zip(got, sorted(rows, key=lambda x: x[0]), strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -114,12 +113,24 @@ def test_wavelet_files_hold_the_library_ids(spark):
         assert r.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         start += len(ids)
         flat += ids
-    assert sum(r.n for r in find_token(shards, 2).collect()) == len(rows)
-    assert sum(r.n for r in find_token(shards, flat[3]).collect()) == flat.count(flat[3])
+    tokens = (2, flat[3], 50256, 49999)
+    found = sorted((r.token, r.base + p) for r in find_tokens(shards, tokens).collect() for p in r.positions)
+    assert found == sorted((t, k) for k, t in enumerate(flat) if t in tokens) and flat.count(50256) > 5
     empty, _ = write_shards(frame(spark, []), library_encoder(JSON), 2)
     assert read_documents(empty).count() == 0
 
 
+def test_pieces_of_text_hold_the_ids_of_whole_texts():
+    """The memo cuts and spells texts by itself: held against the library on random strings."""
+    rnd, t, encode = random.Random(12), Tokenizer.from_file(JSON), library_encoder(JSON)()
+    letters = ["a", "b", "Z", " ", " ", "  ", "\n", "\t", ".", ",", "'s", "'", "é", "ß", "日", "🙂", "\u00a0", "\u0301", "\r\n", "1", "23", "<|endoftext|>", "<|", "x\u200b", "ǅ", "%", ")", "?!"]
+    made = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) for _ in range(6000)]
+    for k in range(0, len(made), 500):
+        some = made[k:k + 500]
+        for text, ids in zip(some, encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
 def slow_fingerprint(text):
     words = [w for w in "".join(c.lower() if "A" <= c <= "Z" else c for c in text).replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
     if not words:
