@@ -3,6 +3,7 @@ from html import unescape
 
 import pytest
 
+from haulgrid.llm import html_text
 from haulgrid.llm.html_text import extract_pages, main_text
 from haulgrid.llm.queries import QUERIES
 
@@ -63,10 +64,83 @@ def test_operator_edges(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def template_text(html):
+    core = re.search(r"<article>(.*?)</article>", html, re.S)[1]
+    parts = re.split(r"</?(?:p|h1)>", core)
+    want = [" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
+    return "\n\n".join(w for w in want if w)
+
+
 def test_small_table_against_its_template(spark):
     got = {r.page_id: r.text for r in QUERIES["op10_html_text"](spark, "/root/testdata/sf0.001").collect()}
     for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect():
-        core = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
-        parts = re.split(r"</?(?:p|h1)>", core)
-        want = [" ".join(unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in parts]
-        assert got[r.page_id] == "\n\n".join(w for w in want if w)
+        assert got[r.page_id] == template_text(r.html)
+
+
+@pytest.mark.parametrize("start, end", [
+    ("<div>", "</div>"), ("<section class='x'>", "</section>"), ("", ""), ("<div class=a><div class=b>", "</div></div>"),
+    ("<div class='page has-sidebar'><article class='post comments-open'>", "</article></div>"),
+    ("<form id='aspnetForm'><div>", "</div></form>"), ("<div class=widget><main>", "</main></div>"),
+])
+def test_pages_without_the_article_element(spark, start, end):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        html = r.html.replace("<article>", start).replace("</article>", end)
+        assert main_text(html) == template_text(r.html), html
+
+
+def test_names_that_only_look_like_boilerplate():
+    p = "".join(f"<p>{x}</p>" for x in PARTS)
+    want = "\n\n".join(unescape(x) for x in PARTS)
+    for core in (
+        f"<div class='page has-sidebar'><article>{p}</article></div>",
+        f"<form id='aspnetForm'><article>{p}</article><label>Search</label><input></form>",
+        f"<article class='post comments-open'>{p}</article>",
+        f"<article>{p.replace('<p>', '<div class=share-price>').replace('</p>', '</div>')}</article>",
+    ):
+        assert main_text(page(core)) == want
+        assert main_text(f"<html><body>{core}</body></html>") == want
+    assert main_text(f"<article>{p}<p><math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>") == want + "\n\nx=1"
+    for name in ("cookie-notice", "siteFooter", "main-nav", "ad-slot", "post-comments", "related-posts", "sidebar-left", "ad_300x250", "social-links"):
+        assert main_text(page(f"<article>{p}<div class='{name}'><p>{WORDS}</p></div></article>")) == want, name
+
+
+def test_link_lists_without_a_name_are_no_main_text():
+    links = "<ul>" + "".join(f"<li><a href=/{k}>more about {k}</a></li>" for k in range(9)) + "</ul>"
+    p = "".join(f"<p>{x}</p>" for x in PARTS)
+    want = "\n\n".join(unescape(x) for x in PARTS)
+    assert main_text(page(f"<article>{p}{links}</article>")) == want
+    assert main_text(page(f"<div>{links}</div><div>{p}</div>")) == want
+    few = "<ul><li>one</li><li>two <a href=/>link</a></li></ul>"
+    assert main_text(page(f"<article>{p}{few}</article>")) == want + "\n\none\n\ntwo link"
+
+
+def test_densities_against_the_formula():
+    """Densities by recursion, straight from the paper, over pages of every shape above."""
+    from math import e, log
+
+    def count(n):
+        own = [k for k in n.kids if type(k) is html_text.Node and not k.gone]
+        c = sum(len(re.sub(r"\s", "", k)) for k in n.kids if type(k) is str)
+        t = lc = lt = 0
+        for k in own:
+            kc, kt, klc, klt = count(k)
+            c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt + (k.tag == "a")
+        return c, t, c if n.tag == "a" else lc, lt
+
+    html = page("<article><h1>Head</h1>" + "".join(f"<p>{x} <a href=/>a link</a></p>" for x in PARTS) + "<div>loose <b>text</b><p>x</p></div></article>")
+    root = html_text.parse(html)
+    body = next(n for n in html_text._ordered(root) if n.tag == "body")
+    nodes = html_text._ordered(body)
+    html_text._densities(nodes, body)
+    c, _, lc, _ = count(body)
+    share = lc / c
+    for n in nodes:
+        c, t, lc, lt = count(n)
+        if not c:
+            assert n.density == 0
+            continue
+        nlc = (c - lc) or 1
+        want = c / (t or 1) * log(c / (lc or 1) * (t or 1) / (lt or 1)) / log(log(c / nlc * lc + share * c + e))
+        assert abs(n.density - want) < 1e-9 * abs(want) + 1e-9, n.tag
+        blocks = [k.density for k in n.kids if type(k) is html_text.Node and not k.gone and k.tag in html_text.BLOCK]
+        assert n.total >= sum(blocks) - 1e-9 and (n.total == 0 or blocks)
