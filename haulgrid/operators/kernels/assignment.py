@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import time
 
 import numpy as np
@@ -98,24 +99,149 @@ def assign_lp(points, w, centers, eps=0.05, home=None, lam=0.0) -> tuple[np.ndar
     return flow.argmax(1), float((flow * cost).sum())
 
 
+class _Flow:
+    """An optimal split of demands under bans, kept optimal while more pairs are banned.
+
+    A ban takes the unit's share out of a district; the share is placed again along cheapest
+    chains of moves that end in the gap it left. One node of the chains' graph stands for slack:
+    a district below its upper bound may absorb, one above its lower bound may release load.
+    Chains of least cost keep a flow optimal, so a node of the search costs a few chains.
+    """
+
+    def __init__(self, cost: np.ndarray, w: np.ndarray, lo: float, hi: float, flow: np.ndarray):
+        self.cost, self.w, self.lo, self.hi, self.flow = cost, w, lo, hi, flow
+        self.tol = 1e-7 * max(1.0, float(w.sum()))
+
+    def copy(self) -> _Flow:
+        return _Flow(self.cost.copy(), self.w, self.lo, self.hi, self.flow.copy())
+
+    def _chains(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        k = self.cost.shape[1]
+        load = self.flow.sum(0)
+        step, mover = np.full((k + 1, k + 1), np.inf), np.zeros((k, k), int)
+        for a in range(k):
+            has = np.flatnonzero(self.flow[:, a] > self.tol)
+            if len(has):
+                gap = self.cost[has] - self.cost[has, a][:, None]
+                best = gap.argmin(0)
+                step[a, :k], mover[a] = gap[best, np.arange(k)], has[best]
+        step[:k, k] = np.where(load < self.hi - self.tol, 0.0, np.inf)
+        step[k, :k] = np.where(load > self.lo + self.tol, 0.0, np.inf)
+        np.fill_diagonal(step, 0.0)
+        step[step > FAR / 2] = np.inf
+        nxt = np.tile(np.arange(k + 1), (k + 1, 1))
+        for via in range(k + 1):
+            new = step[:, via, None] + step[via]
+            better = new < step - 1e-9
+            step = np.where(better, new, step)
+            nxt = np.where(better, nxt[:, via, None], nxt)
+        return step, nxt, mover
+
+    def ban(self, i: int, districts: np.ndarray) -> bool:
+        """Unit i keeps out of ``districts``; False if nothing is left for it."""
+        self.cost[i, districts] = FAR
+        return all(self._place(i, a) for a in districts if self.flow[i, a] > 0)
+
+    def _place(self, i: int, gap: int) -> bool:
+        k = self.cost.shape[1]
+        left, self.flow[i, gap] = self.flow[i, gap], 0.0
+        for _ in range(50 * k):
+            if left <= self.tol:
+                return True
+            dist, nxt, mover = self._chains_with(gap, left)
+            ways = self.cost[i] + dist[:k, gap]
+            at = int(ways.argmin())
+            if not ways[at] < FAR / 2:
+                return False
+            load, moves, most, first = self.flow.sum(0), [], left, at
+            load[gap] += left
+            for _ in range(k + 2):
+                if at == gap:
+                    break
+                to = int(nxt[at, gap])
+                if to == k:
+                    most = min(most, self.hi - load[at])
+                elif at == k:
+                    most = min(most, load[to] - self.lo)
+                else:
+                    most = min(most, self.flow[mover[at, to], at])
+                    moves.append((int(mover[at, to]), at, to))
+                at = to
+            if at != gap or most <= 0:
+                return False
+            self.flow[i, first] += most
+            for m, x, y in moves:
+                self.flow[m, x] -= most
+                self.flow[m, y] += most
+            left -= most
+        return False
+
+    def _chains_with(self, gap: int, left: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Chains while ``left`` is still missing in ``gap``: its load counts as before the ban."""
+        spare = np.zeros((1, self.cost.shape[1]))
+        spare[0, gap] = left
+        flow, cost = self.flow, self.cost
+        self.flow, self.cost = np.vstack([flow, spare]), np.vstack([cost, np.full((1, cost.shape[1]), FAR)])
+        self.cost[-1, gap] = 0.0
+        try:
+            return self._chains()
+        finally:
+            self.flow, self.cost = flow, cost
+
+    def value(self) -> float:
+        return float((self.flow * self.cost).sum())
+
+    def extra_cost(self) -> np.ndarray:
+        """Reduced costs: by how much the optimum rises at least if a unit is put in a district."""
+        price = -self._chains()[0][-1, :-1]
+        price = np.where(np.isfinite(price), price, -FAR)
+        whole = self.w[:, None] * (self.cost + price)
+        return whole - whole.min(1, keepdims=True)
+
+
+def _polish(lab: np.ndarray, whole: np.ndarray, w: np.ndarray, lo: float, hi: float, rounds: int = 200) -> np.ndarray:
+    """Single moves and swaps of two units while one lowers the cost within the bounds."""
+    n, k = whole.shape
+    lab, rows = lab.copy(), np.arange(n)
+    for _ in range(rounds):
+        load, now = np.bincount(lab, weights=w, minlength=k), whole[rows, lab]
+        move = whole - now[:, None]
+        move[(load[lab] - w < lo - 1e-9)[:, None] | (load + w[:, None] > hi + 1e-9)] = 0.0
+        move[rows, lab] = 0.0
+        i, to = divmod(int(move.argmin()), k)
+        swap = whole[:, lab] - now[:, None]
+        swap = swap + swap.T
+        after = load[lab] - w + w[:, None]  # of the column's district, if row and column change places
+        fits = (after >= lo - 1e-9) & (after <= hi + 1e-9)
+        swap[~(fits & fits.T) | (lab[:, None] == lab)] = 0.0
+        a, b = divmod(int(swap.argmin()), n)
+        if min(move[i, to], swap[a, b]) > -1e-9:
+            break
+        if move[i, to] <= swap[a, b]:
+            lab[i] = to
+        else:
+            lab[a], lab[b] = lab[b], lab[a]
+    return lab
+
+
 def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -> tuple[np.ndarray, dict]:
-    """Whole units only: branch and bound over the flow relaxation, depth first.
+    """Whole units only: branch and bound over the flow relaxation, best bound first.
 
-    Demands are whole numbers, so bounds are rounded inwards. Returns labels and a log with
-    status (optimal, limit, infeasible), gap and whether a fallback was taken: without any whole
-    assignment, the relaxation with the penalty; without that, nearest centres.
+    A node bans pairs of unit and district; its relaxation starts from its parent's. Pairs whose
+    reduced cost alone exceeds what the best whole assignment leaves are banned too. Whole
+    assignments come from rounding and local search. Demands are whole numbers, so bounds are
+    rounded inwards. Returns labels and a log with status (optimal, limit, infeasible), gap and
+    whether a fallback was taken: without any whole assignment, the relaxation with the penalty;
+    without that, nearest centres.
     """
     n, k = len(points), len(centers)
     cost = distances(points, centers) + lam * (np.arange(k)[None, :] != home[:, None])
+    whole, rows = cost * w[:, None], np.arange(n)
     mean = w.sum() / k
     lo, hi = mean * (1 - eps), mean * (1 + eps)
     if np.all(w == np.round(w)):
         lo, hi = np.ceil(lo - 1e-9), np.floor(hi + 1e-9)
-    started, best, best_cost, root, stopped = time.monotonic(), None, np.inf, None, False
-
-    def whole_cost(lab: np.ndarray) -> float:
-        load = np.bincount(lab, weights=w, minlength=k)
-        return float((cost[np.arange(n), lab] * w).sum()) if load.max() <= hi + 1e-9 and load.min() >= lo - 1e-9 else np.inf
+    started, best, best_cost, bound, stopped = time.monotonic(), None, np.inf, -np.inf, False
 
     def rounded(flow: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Largest shares, then single moves that lower the violation most per cost."""
@@ -125,13 +251,11 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
             bad = np.maximum(load - hi, 0) + np.maximum(lo - load, 0)
             if bad.sum() <= 1e-9:
                 break
-            after_from = load[lab] - w
-            after_to = load[None, :] + w[:, None]
-            gain = bad[lab][:, None] + bad[None, :] - (
-                np.maximum(after_from - hi, 0) + np.maximum(lo - after_from, 0))[:, None] - np.maximum(after_to - hi, 0) - np.maximum(lo - after_to, 0)
-            gain[np.arange(n), lab] = -np.inf
+            less, more = load[lab] - w, load[None, :] + w[:, None]
+            gain = (bad[lab] - np.maximum(less - hi, 0) - np.maximum(lo - less, 0))[:, None] + bad - np.maximum(more - hi, 0) - np.maximum(lo - more, 0)
+            gain[rows, lab] = -np.inf
             gain[limit >= FAR] = -np.inf
-            price = (cost - cost[np.arange(n), lab][:, None]) * w[:, None]
+            price = whole - whole[rows, lab][:, None]
             score = np.where(gain > 1e-9, gain / (1 + np.maximum(price, 0)), -np.inf)
             i, to = np.unravel_index(score.argmax(), score.shape)
             if not np.isfinite(score[i, to]):
@@ -139,36 +263,57 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
             lab[i] = to
         return lab
 
-    todo = [np.zeros((n, k), bool)] if w.max() <= hi + 1e-9 and lo <= hi else []
-    while todo:
+    def offer(lab: np.ndarray) -> None:
+        nonlocal best, best_cost
+        load = np.bincount(lab, weights=w, minlength=k)
+        if load.max() <= hi + 1e-9 and load.min() >= lo - 1e-9:
+            lab = _polish(lab, whole, w, lo, hi)
+            if (c := float(whole[rows, lab].sum())) < best_cost:
+                best, best_cost = lab, c
+
+    def enough(value: float) -> bool:
+        return best is not None and value >= best_cost - gap * abs(best_cost)
+
+    todo, born = [], 0
+    if n and w.max() <= hi + 1e-9 and lo <= hi:
+        flow, ok = transport(cost, w, lo, hi)
+        if ok:
+            todo.append(((flow * cost).sum(), 0, _Flow(cost.copy(), w, lo, hi, flow)))
+    dive = None
+    while todo or dive:
         if time.monotonic() - started > time_limit:
             stopped = True
             break
-        ban = todo.pop()
-        limit = np.where(ban, FAR, cost)
-        flow, ok = transport(limit, w, lo, hi)
-        bound = float((flow * limit).sum())
-        if not ok or bound >= FAR or bound >= best_cost - gap * abs(best_cost) * (best is not None):
+        value, _, node = dive or heapq.heappop(todo)
+        dive = None
+        if enough(value):
             continue
-        root = bound if root is None else root
-        share = flow / np.maximum(w, 1e-12)[:, None]
-        lab = share.argmax(1)
-        for guess in (lab, rounded(flow, limit)):
-            if (c := whole_cost(guess)) < best_cost:
-                best, best_cost = guess.copy(), c
+        share = node.flow / np.maximum(w, 1e-12)[:, None]
         split = np.flatnonzero(share.max(1) < 1 - 1e-6)
-        if not len(split):
+        for lab in (share.argmax(1), rounded(node.flow, node.cost)):
+            offer(lab)
+        if not len(split) or enough(value):
             continue
-        i = int(split[(w[split]).argmax()])
+        if best is not None:
+            far = (node.extra_cost() >= best_cost * (1 - gap) - value) & (node.flow <= node.tol)
+            node.cost[far] = FAR
+        i = int(split[(w[split] * (1 - share[split].max(1))).argmax()])
         keep = int(share[i].argmax())
-        out, only = ban.copy(), ban.copy()
-        out[i, keep] = True
-        only[i] = True
-        only[i, keep] = False
-        todo += [out, only]
+        children = []
+        for out in (np.array([keep]), np.flatnonzero(np.arange(k) != keep)):
+            child = node.copy()
+            if child.ban(i, out) and not enough(v := child.value()) and v < FAR / 2:
+                born += 1
+                children.append((v, born, child))
+        children.sort(key=lambda c: c[0])
+        if children:
+            dive = children.pop(0)
+        for c in children:
+            heapq.heappush(todo, c)
     if best is not None:
-        left = 0.0 if not stopped else max(0.0, (best_cost - root) / max(abs(best_cost), 1e-12))
-        return best, {"status": "limit" if stopped else "optimal", "gap": left, "fallback": False}
+        bound = min([t[0] for t in todo] + ([dive[0]] if dive else []), default=best_cost) if stopped else best_cost
+        left = max(0.0, (best_cost - bound) / max(abs(best_cost), 1e-12))
+        return best, {"status": "limit" if stopped and left > gap else "optimal", "gap": left, "fallback": False}
     flow, ok = transport(cost, w, mean * (1 - eps), mean * (1 + eps))
     lab = flow.argmax(1) if ok else nearest(points, centers)
     return lab, {"status": "limit" if stopped else "infeasible", "gap": float("nan"), "fallback": True}
