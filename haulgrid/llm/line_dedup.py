@@ -204,14 +204,15 @@ _LEAVES = """
 """
 
 
-def _class_pairs(lines: DataFrame, bound: int, least: int, least_words: int | None) -> DataFrame:
-    """Candidate pairs for one edit among lines of crowded groups, linear in their number.
+def _class_pairs(lines: DataFrame, bound: int, least: int, least_words: int | None) -> tuple[DataFrame, str]:
+    """Candidate pairs for one edit among lines of crowded groups, linear in their number; and
+    the folder to delete after use.
 
     Lines are keyed again by all but one stretch of them. Where such a class is crowded too, by
     all but one character or word: lines that share this are alike, so each needs to meet only
     the earliest of them, and the earliest that is longer or shorter by the open one.
     """
-    classes = _classes(lines, least, least_words)
+    classes, path = materialize(_classes(lines, least, least_words), "line-classes")
     sizes = classes.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("own").cast("int")).alias("owns")).filter("n > 1 AND owns > 0")
     k = F.xxhash64("class").alias("key")  # a key of its own, see duplicate_lines
     classes = classes.withColumn("key", k).join(sizes.select(k, "n"), "key")
@@ -226,7 +227,7 @@ def _class_pairs(lines: DataFrame, bound: int, least: int, least_words: int | No
     k = F.xxhash64("leaf").alias("k")
     firsts = firsts.filter("n > 1").select(k, F.explode(F.array_compact(F.array("own.id", "other.id"))).alias("b"))
     stars = leaves.select(k, F.col("id").alias("a")).join(firsts, "k").filter("a <> b").select("a", "b")
-    return pairs.unionByName(stars)
+    return pairs.unionByName(stars), path
 
 
 def _pairs(members: DataFrame) -> DataFrame:
@@ -254,11 +255,14 @@ def near_pairs(lines: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: int
         F.count(F.lit(1)).alias("n"), F.sum(F.col("k.own").cast("int")).alias("owns")).filter("n > 1 AND owns > 0")
     members, groups = materialize(keyed.join(sizes.select(F.xxhash64("key").alias("key"), "n"), "key"), "line-groups")
     found, path = materialize(fetch(members.select("id", "place").distinct()), "lines")
+    paths = [groups, path]
     if t > 1 or members.filter(F.col("n") > pair_bound).isEmpty():
         pairs = _pairs(members)
     else:
         crowded = members.filter(F.col("n") > pair_bound).select("id").distinct()
-        pairs = _pairs(members.filter(F.col("n") <= pair_bound)).unionByName(_class_pairs(found.join(crowded, "id"), pair_bound, least, least_words))
+        more, path = _class_pairs(found.join(crowded, "id"), pair_bound, least, least_words)
+        pairs = _pairs(members.filter(F.col("n") <= pair_bound)).unionByName(more)
+        paths.append(path)
     # few bytes but much work: an explicit number of partitions isn't merged by adaptive execution
     tasks = 3 * lines.sparkSession.sparkContext.defaultParallelism
     pairs = pairs.select(F.least("a", "b").alias("ia"), F.greatest("a", "b").alias("ib")).repartition(tasks, "ia", "ib").distinct()
@@ -271,7 +275,7 @@ def near_pairs(lines: DataFrame, fetch: Callable[[DataFrame], DataFrame], t: int
         if t == 1:  # within one character but not within one word: a word was split or two joined
             near = near & (~long | (F.abs(wa - wb) == 1))
         near = F.when(long & word_within("a.line", "b.line"), True).otherwise(near)
-    return pairs.filter(F.col("a.line") != F.col("b.line")).filter(near).select("a", "b"), [groups, path]
+    return pairs.filter(F.col("a.line") != F.col("b.line")).filter(near).select("a", "b"), paths
 
 
 def near_lines(distinct: DataFrame, t: int, least: int, least_words: int | None = None, pair_bound: int = 32) -> DataFrame:
