@@ -12,12 +12,17 @@ from haulgrid.llm.common import texts
 ROUNDS = 10
 #: Groups of four (the last may be shorter), 4-6-5, or digits in one piece: where a card may start.
 _CARD = r"(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,4}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w)"
+_MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 #: What is looked for, in this order. Each needs a digit, @, = or :, which a first quick look uses.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*(?<=\.[A-Za-z]{2,24})",
     "secret": r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
               r"|(?i:(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key))\s{0,3}[:=]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}+",
     "date": r"(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\d/-])",
+    "daytext": rf"(?<![\w.,/-])(?:\d{{1,2}}(?:st|nd|rd|th)? {_MONTH}\.?,? \d{{4}}|{_MONTH}\.? \d{{1,2}}(?:st|nd|rd|th)?,? \d{{4}})(?![\w-])",
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?!\w)",
+    "ipv6": r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d)"
+            r"|(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\) ?\d{3}[ .-]?\d{4}(?!\d)"
@@ -156,6 +161,62 @@ def _date(x: str, key: str) -> str:
             f"coalesce({moved(day(0, 1), written(0, 1))}, {moved(day(1, 0), written(1, 0))}))")
 
 
+def _daytext(x: str, key: str) -> str:
+    """The same permutation of days; the month is written out or shortened as it was found."""
+    months = "array('jan', 'feb', 'mar', 'apr', 'may', 'jun', 'jul', 'aug', 'sep', 'oct', 'nov', 'dec')"
+    name = f"regexp_extract({x}, '[A-Z][a-z]+', 0)"
+    number = f"regexp_extract({x}, '([0-9]{{1,2}})(?:st|nd|rd|th)?[ ,]', 1)"
+    day = f"try_cast(concat_ws('-', right({x}, 4), lpad(array_position({months}, lower(left(mn, 3))), 2, '0'), lpad({number}, 2, '0')) as date)"
+    index = "datediff(dy, DATE '1800-01-01')"
+    new = f"date_add(DATE '1800-01-01', cast({_feistel('date', '189', '773', index, key)} as int))"
+    month = "if(length(mn) > 3, date_format(n, 'MMMM'), date_format(n, 'MMM'))"
+    back = (f"if({x} rlike '^[0-9]', concat_ws(' ', date_format(n, 'd'), {month}, date_format(n, 'yyyy')), "
+            f"concat({month}, ' ', date_format(n, 'd'), if({x} like '%,%', ', ', ' '), date_format(n, 'yyyy')))")
+    moved = f"if(dy between DATE '1800-01-01' and DATE '2199-12-31', {_let('n', new, back)}, null)"
+    return _let("mn", name, _let("dy", day, moved))
+
+
+def _mod97(text: str) -> str:
+    """Remainder of a string by 97, letters counting 10 to 35."""
+    value = "if(c between '0' and '9', cast(c as int), ascii(c) - 55)"
+    return f"aggregate(split({text}, ''), 0, (t, c) -> (t * if(c between '0' and '9', 10, 100) + {value}) % 97)"
+
+
+def _iban(x: str, key: str) -> str:
+    """Country and letters stay, the digits of the account are permuted, the check digits follow."""
+    tail = "right(dg, least(18, length(dg)))"
+    moved = _feistel("iban", _power("tl div 2"), _power("tl - tl div 2"), tail, key)
+    head = "left(dg, length(dg) - tl)"
+    first = _feistel("ibanhead", _power("hl div 2"), _power("hl - hl div 2"), head, key)
+    new = (f"concat(if(hl = 0, '', lpad(cast({_let('hl0', 'hl', first)} as string), hl, '0')), lpad(cast({moved} as string), tl, '0'))")
+    digits = _let("dg", _digits("substr(ib, 5)"), _let("tl", "least(18, length(dg))", _let("hl", "length(dg) - tl", f"if(tl = 0, '', {new})")))
+    account = _let("nd", digits, _refill("substr(ib, 5)", "nd"))
+    check = f"lpad(cast(98 - {_mod97(chr(39).join(['concat(ac, left(ib, 2), ', '00', ')']))} as string), 2, '0')"
+    made = _let("ac", account, f"concat(left(ib, 2), {check}, ac)")
+    spaced = f"if({x} like '% %', rtrim(regexp_replace(nw, '(.{{4}})', '$1 ')), nw)"
+    valid = f"length(ib) between 15 and 34 and {_mod97('concat(substr(ib, 5), left(ib, 4))')} = 1"
+    return _let("ib", f"replace({x}, ' ', '')", f"if({valid}, {_let('nw', made, spaced)}, null)")
+
+
+def _ipv6(x: str, key: str) -> str:
+    """All 128 bits are permuted by halves of 64, with exclusive-or in place of sums; written in full."""
+    groups = (f"if({x} like '%::%', concat(filter(split(split({x}, '::')[0], ':'), g -> g <> ''), "
+              f"array_repeat('0', 8 - size(filter(split({x}, ':'), g -> g <> ''))), filter(split(split({x}, '::')[1], ':'), g -> g <> '')), split({x}, ':'))")
+
+    def half(start: int) -> str:
+        return f"cast(conv(array_join(transform(slice(gr, {start}, 4), g -> lpad(g, 4, '0')), ''), 16, -10) as bigint)"
+
+    def digest(of: str) -> str:
+        return f"cast(conv(substr(sha2(concat_ws(':', {key}, 'ipv6', i, {of}), 256), 1, 16), 16, -10) as bigint)"
+
+    turn = f"if(i % 2 = 0, named_struct('l', s.l ^ {digest('s.r')}, 'r', s.r), named_struct('l', s.l, 'r', s.r ^ {digest('s.l')}))"
+    loop = f"aggregate(sequence(0, {ROUNDS - 1}), named_struct('l', {half(1)}, 'r', {half(5)}), (s, i) -> {turn})"
+    back = ("concat_ws(':', transform(sequence(0, 7), k -> lower(hex((if(k < 4, shiftrightunsigned(v.l, 48 - 16 * k), "
+            "shiftrightunsigned(v.r, 48 - 16 * (k - 4)))) & 65535L))))")
+    valid = f"size(gr) = 8 and {x} rlike '[0-9]' and size(filter(gr, g -> g <> '0')) > 1"
+    return _let("gr", groups, f"if({valid}, {_let('v', loop, back)}, null)")
+
+
 def _email(x: str, key: str) -> str:
     """Not a number, so no permutation: the same address has the same keyed digest."""
     return f"concat('u', substr(sha2(concat_ws(':', {key}, 'email', lower({x})), 256), 1, 16), '@example.invalid')"
@@ -169,14 +230,17 @@ def _secret(x: str, key: str) -> str:
     return _let("w", value, f"if({x} like 'AKIA%' or w rlike '[0-9]', {whole}, null)")
 
 
-_MAKERS = {"email": _email, "secret": _secret, "date": _date, "ssn": _ssn, "ip": _ip, "phone": _phone}
+_MAKERS = {"email": _email, "secret": _secret, "date": _date, "daytext": _daytext, "iban": _iban, "ipv6": _ipv6, "ssn": _ssn, "ip": _ip, "phone": _phone}
 
 
-def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymize(docs: DataFrame, key: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Replace personal data in whole texts by keyed pseudonyms of the same format.
 
-    Card numbers (Luhn), social security numbers (ranges), IPv4 addresses, dates (real days of
-    1800 to 2199) and phone numbers go through a Feistel permutation of all values of their
+    ``key`` is a table of one row and one column, read while the query runs: the key itself is in
+    no plan, so in no log or user interface that shows plans.
+
+    Card numbers (Luhn), bank accounts (IBAN, mod 97), social security numbers (ranges), IPv4 and
+    IPv6 addresses, dates (real days of 1800 to 2199; in figures or with an English month) and phone numbers go through a Feistel permutation of all values of their
     format, so a pseudonym is valid again, equal values have equal pseudonyms in all documents,
     and different values different ones. E-mail addresses and secrets become keyed digests.
     Phones are grouped 3-3-4, international with a plus, or ten digits in one piece that may be
@@ -189,9 +253,9 @@ def pseudonymize(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     * null text: empty. Null ids, ties and repeated rows pass row by row; empty table: empty
       result. Texts without any of it come back as they are.
     """
-    quoted = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    quoted = "secret_key"
     every = "|".join(PATTERNS.values())
-    rows = texts(docs, id_col=id_col, text_col=text_col)
+    rows = texts(docs, id_col=id_col, text_col=text_col).withColumn(quoted, key.scalar())
     pattern = F.lit(every)
     some = F.col("text").rlike("[0-9@=:]")
     rows = rows.withColumn("found", F.when(some, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))

@@ -66,7 +66,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents"), key="production key, to be kept elsewhere")
+    """The key is the session's ``spark.haulgrid.pii.secret`` (a name that Spark redacts); without
+    it, a public one that protects nothing and makes runs comparable."""
+    key = spark.conf.get("spark.haulgrid.pii.secret", "public key of the example")
+    return pseudonymize(table(spark, sf_dir, "documents"), spark.createDataFrame([(key,)], "key string"))
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

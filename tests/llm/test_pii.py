@@ -3,7 +3,8 @@ import random
 import re
 from datetime import date, timedelta
 
-from haulgrid.llm.pii import KINDS, ROUNDS, pseudonymize
+from haulgrid.llm import pii
+from haulgrid.llm.pii import KINDS, ROUNDS
 
 KEY = "it's a \\ key"
 SCHEMA = "doc_id bigint, text string, found string, made int, gaps string, n_card string"
@@ -13,6 +14,17 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "f", 1, "g", "n") for i, t in rows], SCHEMA)
 
 
+def pseudonymize(docs, key):
+    return pii.pseudonymize(docs, docs.sparkSession.createDataFrame([(key,)], "key string"))
+
+
+def test_the_key_is_in_no_plan(spark):
+    key = "a-very-private-key-4711"
+    made = pseudonymize(frame(spark, [(1, "call 555-123-4567 or mail a@b.org")]), key)
+    made.collect()
+    assert key not in made._jdf.queryExecution().toString()
+
+
 def feistel(kind, a, b, v):
     left, right = divmod(v, b)
     for i in range(ROUNDS):
@@ -145,3 +157,54 @@ def test_phones_of_other_groupings(spark):
         x = (phones + plain)[r.doc_id]
         assert (r.n_phone == 1 and r.text != f"call {x} now") == (x in phones), (x, r.text)
         assert re.sub(r"\d", "0", r.text) == re.sub(r"\d", "0", f"call {x} now")
+
+
+def mod97(x):
+    return int("".join(str(int(c, 36)) for c in x)) % 97
+
+
+def brute_iban(x):
+    plain = x.replace(" ", "")
+    if mod97(plain[4:] + plain[:4]) != 1:
+        return x
+    digits = re.sub(r"\D", "", plain[4:])
+    tail, head = digits[-18:], digits[:-18]
+    moved = ""
+    for kind, part in (("ibanhead", head), ("iban", tail)):
+        if part:
+            half = len(part) // 2
+            moved += str(feistel(kind, 10 ** half, 10 ** (len(part) - half), int(part))).zfill(len(part))
+    new = iter(moved)
+    account = re.sub(r"\d", lambda _: next(new), plain[4:])
+    made = f"{plain[:2]}{98 - mod97(account + plain[:2] + '00'):02d}{account}"
+    return " ".join(made[k:k + 4] for k in range(0, len(made), 4)) if " " in x else made
+
+
+def brute_ipv6(x):
+    import ipaddress
+
+    v = int(ipaddress.IPv6Address(x))
+    halves = [v >> 64, v & (1 << 64) - 1]
+    for i in range(ROUNDS):
+        of = halves[(i + 1) % 2]
+        signed = of - (1 << 64) if of >> 63 else of
+        halves[i % 2] ^= int(hashlib.sha256(f"{KEY}:ipv6:{i}:{signed}".encode()).hexdigest()[:16], 16)
+    made = halves[0] << 64 | halves[1]
+    return ":".join(f"{made >> 112 - 16 * k & 65535:x}" for k in range(8))
+
+
+def test_accounts_addresses_and_written_dates_against_plain_versions(spark):
+    rnd, cases = random.Random(4), []
+    for _ in range(40):
+        country, n = rnd.choice([("HR", 17), ("DE", 18), ("GB", 18), ("FR", 23), ("MT", 27), ("NO", 11)])
+        account = "".join(rnd.choice("0123456789" * 3 + "ABCZ") for _ in range(n))
+        good = f"{country}{98 - mod97(account + country + '00'):02d}{account}"
+        cases += [(good, brute_iban), (" ".join(good[k:k + 4] for k in range(0, len(good), 4)), brute_iban), (good[:2] + f"{(int(good[2:4]) + 1) % 97:02d}" + account, brute_iban)]
+        cases.append((":".join(f"{rnd.randrange(65536):x}" for _ in range(8)), brute_ipv6))
+    cases += [("2001:db8::1", brute_ipv6), ("2001:db8:0:0:0:0:0:1", brute_ipv6), ("fe80::1:2", brute_ipv6), ("IBAN", lambda x: x), ("std::vector", lambda x: x), ("::", lambda x: x)]
+    written = [("5 March 1990", "{d.day} {d:%B} {d.year}"), ("March 5, 1990", "{d:%B} {d.day}, {d.year}"), ("5 Mar 1990", "{d.day} {d:%b} {d.year}"), ("Mar 5 1990", "{d:%b} {d.day} {d.year}")]
+    moved = date.fromisoformat(brute_date("1990-03-05"))
+    cases += [(x, lambda _, how=how: how.format(d=moved)) for x, how in written] + [("31 February 1990", lambda x: x), ("May 1990", lambda x: x)]
+    for r in pseudonymize(frame(spark, [(k, f"Pay {x} now") for k, (x, _) in enumerate(cases)]), KEY).collect():
+        x, brute = cases[r.doc_id]
+        assert r.text == f"Pay {brute(x)} now", x
