@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` names it. Only where that is unset (tests on one
-    machine) a temporary folder of this machine is set and used.
+    The session's ``spark.checkpoint.dir`` names it. Only a session on one machine may leave it
+    unset; it then gets a temporary folder of this machine.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not named:
         named = sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="haulgrid-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)

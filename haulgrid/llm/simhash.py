@@ -113,10 +113,14 @@ def tiled_links(fps: DataFrame, radius: int = 2, tile_rows: int = 512, blocks: i
         .agg(F.collect_list("fp").alias("fps"))
     )
     tiles, path = materialize(packed, "tiles")
+    # the steps meet thin keys first; fingerprints come along only for tile pairs that exist
     steps = F.array(*[F.lit(s).cast("bigint") for s in _steps(blocks, radius)])
-    left = tiles.select(F.col("tile").alias("left"), F.col("chunk").alias("i"), F.col("fps").alias("x"), F.explode(steps).alias("step"))
+    keys = tiles.select("tile", "chunk")
+    left = keys.select(F.col("tile").alias("left"), F.col("chunk").alias("i"), F.explode(steps).alias("step"))
     left = left.withColumn("tile", F.col("left") + F.col("step"))
-    pairs = left.join(tiles, "tile").filter((F.col("step") != 0) | (F.col("i") <= F.col("chunk"))).select("x", "fps")
+    pairs = left.join(keys, "tile").filter((F.col("step") != 0) | (F.col("i") <= F.col("chunk"))).select("left", "i", "tile", "chunk")
+    pairs = pairs.join(tiles.select(F.col("tile").alias("left"), F.col("chunk").alias("i"), F.col("fps").alias("x")), ["left", "i"])
+    pairs = pairs.join(tiles, ["tile", "chunk"]).select("x", "fps")
 
     def run(batches):
         for batch in batches:
