@@ -118,24 +118,38 @@ ORACLE_SQL: dict[str, str] = {
                CAST(size * (epochs + CAST(2 * (target - epochs * source_size - before) >= size AS INTEGER)) AS BIGINT) AS taken
         FROM placed
     """,
-    # one edit leaves the first or the second half of a line as it was
+    # one edit leaves the first or the second half of a line, or of its words, as it was
     "op5_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                    unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
             FROM documents
-        ), long AS (
-            SELECT doc_id, pos, line, length(line) AS n FROM lines WHERE length(line) >= 20
+        ), counted AS (
+            SELECT doc_id, pos, line, length(line) AS n FROM lines WHERE length(line) >= 20 OR regexp_matches(line, '[^\x20\x09-\x0D]')
         ), firsts AS (
-            SELECT line, n, min({d: doc_id, p: pos}) AS first FROM long GROUP BY ALL
-        ), near AS (
+            SELECT line, n, string_split(line, ' ') AS w, min({d: doc_id, p: pos}) AS first FROM counted GROUP BY ALL
+        ), by_chars AS (
             SELECT DISTINCT b.line FROM firsts a JOIN firsts b
             ON b.n BETWEEN a.n - 1 AND a.n + 1 AND a.first < b.first
                AND (left(a.line, least(a.n, b.n) // 2) = left(b.line, least(a.n, b.n) // 2)
                     OR right(a.line, least(a.n, b.n) // 2) = right(b.line, least(a.n, b.n) // 2))
-            WHERE levenshtein(a.line, b.line) <= 1
+            WHERE a.n >= 20 AND b.n >= 20 AND levenshtein(a.line, b.line) <= 1
+        ), halves AS (
+            SELECT line, w, first, len(w) AS m, unnest([len(w), len(w) - 1]) AS o FROM firsts WHERE n >= 20 AND len(w) >= 8
+        ), keys AS (
+            SELECT line, w, first, m, o, 1 AS side, w[1:o // 2] AS half FROM halves WHERE o >= 8
+            UNION ALL SELECT line, w, first, m, o, 2, w[m - o + o // 2 + 1:m] FROM halves WHERE o >= 8
+        ), pairs AS (
+            SELECT DISTINCT a.line AS la, a.w AS wa, a.first AS fa, b.line AS lb, b.w AS wb, b.first AS fb, least(a.m, b.m) AS lo, greatest(a.m, b.m) AS hi
+            FROM keys a JOIN keys b ON a.o = b.o AND a.side = b.side AND a.half = b.half AND a.o = a.m AND a.line <> b.line
+        ), by_words AS (
+            SELECT CASE WHEN fa < fb THEN lb ELSE la END AS line FROM pairs
+            WHERE coalesce(nullif(list_position(list_transform(range(1, lo + 1), lambda i: wa[i] = wb[i]), false), 0) - 1, lo)
+                + coalesce(nullif(list_position(list_transform(range(1, lo + 1), lambda i: wa[-i] = wb[-i]), false), 0) - 1, lo) >= hi - 1
+        ), near AS (
+            SELECT line FROM by_chars UNION SELECT line FROM by_words
         ), gone AS (
-            SELECT l.doc_id, l.pos FROM long l JOIN firsts f ON l.line = f.line
+            SELECT l.doc_id, l.pos FROM counted l JOIN firsts f ON l.line = f.line
             WHERE {d: l.doc_id, p: l.pos} <> f.first OR l.line IN (SELECT line FROM near)
         ), per_doc AS (
             SELECT doc_id, count(*) AS n, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS dropped FROM gone GROUP BY doc_id
