@@ -119,6 +119,6 @@ def distance(x1, y1, x2, y2) -> Column:
     return F.hypot(_c(x1) - _c(x2), _c(y1) - _c(y2))
 
 
-def roster(mean_volume, target: float) -> Column:
+def roster(mean_volume, target: float | Column) -> Column:
     """Districts for a mean volume: half-even rounding, at least two."""
-    return F.greatest(F.lit(2), F.rint(_c(mean_volume) / F.lit(float(target))).cast("int"))
+    return F.greatest(F.lit(2), F.rint(_c(mean_volume) / (target if isinstance(target, Column) else F.lit(float(target)))).cast("int"))

@@ -112,7 +112,7 @@ def design_rank(df: DataFrame, value: str) -> DataFrame:
     return ranked.select("depot", "date", "design", "rank", best.alias("best"))
 
 
-def plan_age(metrics: DataFrame) -> DataFrame:
+def plan_age(metrics: DataFrame, keys: Sequence[str] = ("design",)) -> DataFrame:
     """Monthly means by test month of a plan's age measures."""
-    return metrics.groupBy("design", F.month("date").alias("test")).agg(
+    return metrics.groupBy(*keys, F.month("date").alias("test")).agg(
         F.avg("inband").alias("inband"), F.avg("moved_share").alias("moved_share"))

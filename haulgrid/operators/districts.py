@@ -124,7 +124,7 @@ def moved_share(a: DataFrame, base: str = "FIX") -> DataFrame:
 
 def stem_total(metrics: DataFrame, cent: DataFrame, depots: DataFrame) -> DataFrame:
     """Stem kilometres (twice the way to each district's centre) and tour plus stem."""
-    stem = cent.join(F.broadcast(depots), "depot").groupBy(*DAY).agg(
+    stem = cent.join(depots, "depot").groupBy(*DAY).agg(
         (F.sum(F.hypot(F.col("cx") - F.col("px"), F.col("cy") - F.col("py")) * 2) / 1000).alias("stem_km"))
     return metrics.join(stem, list(DAY), "left").withColumn("total_km", F.col("tour_km") + F.col("stem_km"))
 

@@ -7,6 +7,7 @@ dealt over tasks by an explicit repartition, since they are few and heavy.
 
 from __future__ import annotations
 
+import re
 import time
 
 import numpy as np
@@ -17,15 +18,40 @@ from pyspark.sql import functions as F
 from haulgrid.functions import geo
 from haulgrid.operators import districts
 from haulgrid.operators.feasibility import rosters
+from haulgrid.operators.groups import per_group
 from haulgrid.operators.kernels import assignment as A
 from haulgrid.operators.kernels import clusters as C
+from haulgrid.sources.stage import cut, deal
 
 DELTA = 1 / 7
 LAMBDAS = (250.0, 1000.0, 5000.0)
-PLAN = "depot string, train int, n_districts int, bu string, x double, y double, w double, k int, cx double, cy double, trained boolean, sec double"
+PLAN = "depot string, train int, n_districts int, bu string, x double, y double, w double, k int, cx double, cy double, trained boolean, status string, sec double"
 ASSIGN = "depot string, train int, date date, design string, bu string, k int, n int"
 
 
+#: A scenario of a depot is a depot of its own, named by its settings.
+SCENARIO = r"^factor=([0-9.]+),seed=([0-9]+),engine=([a-z]+)[|](.*)$"
+
+
+def scenarios(d: DataFrame, factors, seeds, engines) -> DataFrame:
+    """Parcels once for each setting, so that one plan runs all settings side by side; see SCENARIO."""
+    names = [f"factor={f},seed={s},engine={e}|" for f in factors for s in seeds for e in engines]
+    each = d.withColumn("setting", F.explode(F.array(*[F.lit(n) for n in names])))
+    return each.withColumn("depot", F.concat("setting", "depot")).drop("setting")
+
+
+def scenario_columns() -> list:
+    """target_factor, seed, engine and depot of a scenario."""
+    part = [F.regexp_extract("depot", SCENARIO, i) for i in range(1, 5)]
+    return [part[0].cast("double").alias("target_factor"), part[1].cast("int").alias("seed"), part[2].alias("engine"), part[3].alias("depot")]
+
+
+def _settings(depot: str, seed: int, engine: str) -> tuple[str, int, str]:
+    """A depot's name, seed and engine: those of its scenario, else the ones given."""
+    m = re.match(SCENARIO, depot)
+    return (m[4], int(m[2]), m[3]) if m else (depot, seed, engine)
+
+
 def _rng(depot: str, train: int, seed: int) -> np.random.Generator:
     """Random numbers of a group: its own stream, so groups run in any order."""
     return np.random.default_rng([seed, train, *depot.encode()])
@@ -35,7 +61,8 @@ def units_for_plan(d: DataFrame, side: float, target: float, annual: bool = Fals
     """depot, train, n_districts, bu, x, y, w: the units of each training month and the month after it,
     their cell centres and mean daily demand in training (0 where unseen)."""
     d = d.filter("dow < 5")
-    k = rosters(d, target).select("depot", F.col("m").alias("train"), F.col("K").alias("n_districts"))
+    factor = F.regexp_extract("depot", SCENARIO, 1)
+    k = rosters(d, F.lit(float(target)) * F.when(factor == "", 1.0).otherwise(factor.cast("double"))).select("depot", F.col("m").alias("train"), F.col("K").alias("n_districts"))
     months = d.select("depot", (F.col("m") - 1).alias("train")).filter("train >= 1").distinct().join(k, ["depot", "train"])
     units = districts.bu_union(d).join(months, ["depot", "train"])
     demand = districts.bu_demand(d).withColumnRenamed("m", "learnt")
@@ -48,7 +75,8 @@ def units_for_plan(d: DataFrame, side: float, target: float, annual: bool = Fals
 
 
 def fix_plans(units: DataFrame, engine: str = "mcf", eps: float = 0.05, seed: int = 42) -> DataFrame:
-    """Balanced plan of each depot and month; units unseen in training go to the nearest centre."""
+    """Balanced plan of each depot and month; units unseen in training go to the nearest centre.
+    Without any demand in training there are units, but no districts, as their status says."""
 
     def plan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         began = time.perf_counter()
@@ -56,17 +84,18 @@ def fix_plans(units: DataFrame, engine: str = "mcf", eps: float = 0.05, seed: in
         points, w, k = g[["x", "y"]].to_numpy(), g["w"].to_numpy(), int(g["n_districts"].iloc[0])
         seen = w > 0
         if not seen.any():
-            return pd.DataFrame(columns=[*g.columns, "k", "cx", "cy", "trained", "sec"])
-        lab, centers = C.cap_kmeans(points[seen], w[seen], k, rng=_rng(key[0], int(key[1]), seed), eps=eps, engine=engine)
+            return g.assign(k=None, cx=None, cy=None, trained=False, status="no demand in training", sec=time.perf_counter() - began)
+        name, own_seed, own_engine = _settings(key[0], seed, engine)
+        lab, centers = C.cap_kmeans(points[seen], w[seen], k, rng=_rng(name, int(key[1]), own_seed), eps=eps, engine=own_engine)
         full = A.nearest(points, centers)
         full[seen] = lab
-        return g.assign(k=full, cx=centers[full, 0], cy=centers[full, 1], trained=seen, sec=time.perf_counter() - began)
+        return g.assign(k=full, cx=centers[full, 0], cy=centers[full, 1], trained=seen, status="planned", sec=time.perf_counter() - began)
 
-    return units.repartition("depot", "train").groupBy("depot", "train").applyInPandas(plan, PLAN)
+    return deal(units, "depot", "train").groupBy("depot", "train").applyInPandas(plan, PLAN)
 
 
 def plan_centers(plans: DataFrame) -> DataFrame:
-    return plans.select("depot", "train", "k", "cx", "cy").distinct()
+    return plans.filter("k IS NOT NULL").select("depot", "train", "k", "cx", "cy").distinct()
 
 
 def day_loads(d: DataFrame) -> DataFrame:
@@ -77,58 +106,69 @@ def day_loads(d: DataFrame) -> DataFrame:
 
 def fixed(plans: DataFrame, loads: DataFrame) -> DataFrame:
     """The monthly plan on each test day: a join, no kernel."""
-    return loads.join(plans.select("depot", "train", "bu", "k"), ["depot", "train", "bu"]).select(
+    return loads.join(plans.filter("k IS NOT NULL").select("depot", "train", "bu", "k"), ["depot", "train", "bu"]).select(
         "depot", "train", "date", F.lit("FIX").alias("design"), "bu", "k", "n")
 
 
 def rebalanced(plans: DataFrame, loads: DataFrame, lambdas=LAMBDAS, time_limit: float = 10.0, delta: float = DELTA) -> DataFrame:
     """Minimal-change rebalancing of each test day and penalty: ASSIGN columns and a log.
 
-    Each (depot, date, penalty) is a group of its own. The centres of districts without a unit
-    that day come along as rows without demand.
+    Each (depot, date, penalty) is a row of arrays, with the centres of all districts, those
+    without a unit that day too.
     """
-    active = loads.join(plans.select("depot", "train", "bu", "n_districts", "x", "y", "k"), ["depot", "train", "bu"])
-    centers = plan_centers(plans).groupBy("depot", "train").agg(F.sort_array(F.collect_list(F.struct("k", "cx", "cy"))).alias("centers"))
-    rows = active.join(centers, ["depot", "train"]).withColumn("lam", F.explode(F.array(*[F.lit(float(v)) for v in lambdas])))
-
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
-        began = time.perf_counter()
-        g = g.sort_values("bu").reset_index(drop=True)
-        known = g["centers"].iloc[0]
-        ks = np.array([c["k"] for c in known])
-        centers = np.array([[c["cx"], c["cy"]] for c in known])
-        home = np.searchsorted(ks, g["k"].to_numpy())
-        lab, log = A.assign_milp(g[["x", "y"]].to_numpy(), g["n"].to_numpy(float), centers, delta, home, float(g["lam"].iloc[0]), time_limit)
-        out = g[["depot", "train", "date", "bu", "n", "lam"]].copy()
-        out["k"], out["status"], out["gap"], out["fallback"] = ks[lab], log["status"], log["gap"], log["fallback"]
-        out["max_bu_over_hi"] = g["n"].max() / (g["n"].sum() / len(centers) * (1 + delta))
-        out["sec"] = time.perf_counter() - began
-        return out
+    active = loads.join(plans.filter("k IS NOT NULL").select("depot", "train", "bu", "x", "y", "k"), ["depot", "train", "bu"])
+    units = F.sort_array(F.collect_list(F.struct("bu", "n", "x", "y", "k")))
+    days = active.groupBy("depot", "train", "date").agg(units.alias("u"))
+    centers = plan_centers(plans).groupBy("depot", "train").agg(F.sort_array(F.collect_list(F.struct("k", "cx", "cy"))).alias("c"))
+    rows = days.join(centers, ["depot", "train"]).withColumn("lam", F.explode(F.array(*[F.lit(float(v)) for v in lambdas])))
+    arrays = [F.col(f"u.{c}").alias(c) for c in ("bu", "n", "x", "y", "k")] + [F.col(f"c.{c}").alias(f"c_{c}") for c in ("k", "cx", "cy")]
+    rows = deal(rows, "depot", "date", "lam").select("depot", "train", "date", "lam", *arrays)
+
+    def solve(frames):
+        for f in frames:
+            for r in f.itertuples():
+                began = time.perf_counter()
+                n, home = np.asarray(r.n, float), np.searchsorted(r.c_k, r.k)
+                lab, log = A.assign_milp(np.c_[r.x, r.y], n, np.c_[r.c_cx, r.c_cy], delta, home, r.lam, time_limit)
+                yield pd.DataFrame({
+                    "depot": r.depot, "train": r.train, "date": r.date, "bu": r.bu, "n": r.n, "lam": r.lam, "k": np.asarray(r.c_k)[lab],
+                    "status": log["status"], "gap": log["gap"], "fallback": log["fallback"],
+                    "max_bu_over_hi": n.max() / (n.sum() / len(r.c_k) * (1 + delta)), "sec": time.perf_counter() - began})
 
     schema = "depot string, train int, date date, bu string, n int, lam double, k int, status string, gap double, fallback boolean, max_bu_over_hi double, sec double"
-    solved = rows.repartition("depot", "date", "lam").groupBy("depot", "date", "lam").applyInPandas(solve, schema)
+    solved = rows.mapInPandas(solve, schema)
     return solved.withColumn("gap", F.nanvl("gap", F.lit(None).cast("double"))).withColumn(
         "design", F.concat(F.lit("PEN"), F.col("lam").cast("int").cast("string")))
 
 
+def solver_log(solved: DataFrame) -> DataFrame:
+    """One row for each call of the solver: its day and penalty, size, status, gap, seconds, and
+    the certificate that a unit above the upper bound makes the day infeasible."""
+    return solved.groupBy("depot", "train", "date", "lam").agg(
+        F.count(F.lit(1)).alias("units"), F.sum("n").alias("parcels"), F.max("status").alias("status"), F.max("gap").alias("gap"),
+        F.max("fallback").alias("fallback"), F.max("max_bu_over_hi").alias("max_bu_over_hi"), (F.max("max_bu_over_hi") > 1).alias("cert"),
+        F.max("sec").alias("sec"))
+
+
 def daily(plans: DataFrame, loads: DataFrame, seed: int = 42, engine: str = "mcf") -> DataFrame:
     """Daily re-optimisation, warm (DWS: from yesterday's centres) and cold (DCS: new seeds, then
     districts matched to yesterday's): a fold over the days of a depot and month."""
-    rows = loads.join(plans.select("depot", "train", "bu", "n_districts", "x", "y", "k", "cx", "cy"), ["depot", "train", "bu"])
+    rows = loads.join(plans.filter("k IS NOT NULL").select("depot", "train", "bu", "n_districts", "x", "y", "k", "cx", "cy"), ["depot", "train", "bu"])
     centers = plan_centers(plans).groupBy("depot", "train").agg(F.sort_array(F.collect_list(F.struct("k", "cx", "cy"))).alias("centers"))
     rows = rows.join(centers, ["depot", "train"])
 
     def fold(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rng = _rng(key[0], int(key[1]), seed + 1)
+        name, own_seed, own_engine = _settings(key[0], seed, engine)
+        rng = _rng(name, int(key[1]), own_seed + 1)
         known = g["centers"].iloc[0]
         warm, before, out = np.array([[c["cx"], c["cy"]] for c in known]), None, []
         k = len(warm)
         for day, one in g.sort_values("bu").groupby("date", sort=True):
             points, w = one[["x", "y"]].to_numpy(), one["n"].to_numpy(float)
             began = time.perf_counter()
-            lab, warm = C.cap_kmeans(points, w, k, start=warm, engine=engine)
+            lab, warm = C.cap_kmeans(points, w, k, start=warm, engine=own_engine)
             sec_warm, began = time.perf_counter() - began, time.perf_counter()
-            cold, cold_centers = C.cap_kmeans(points, w, k, rng=rng, engine=engine)
+            cold, cold_centers = C.cap_kmeans(points, w, k, rng=rng, engine=own_engine)
             if before is not None:
                 to = A.hungarian(A.distances(cold_centers, before))
                 moved = np.empty_like(cold_centers)
@@ -141,7 +181,7 @@ def daily(plans: DataFrame, loads: DataFrame, seed: int = 42, engine: str = "mcf
                     "depot": key[0], "train": key[1], "date": day, "design": design, "bu": one["bu"].to_numpy(), "k": own, "n": one["n"].to_numpy(), "sec": sec}))
         return pd.concat(out, ignore_index=True)
 
-    return rows.repartition("depot", "train").groupBy("depot", "train").applyInPandas(fold, ASSIGN + ", sec double")
+    return deal(rows, "depot", "train").groupBy("depot", "train").applyInPandas(fold, ASSIGN + ", sec double")
 
 
 def couriers(d: DataFrame) -> DataFrame:
@@ -151,32 +191,39 @@ def couriers(d: DataFrame) -> DataFrame:
         F.count(F.lit(1)).cast("int").alias("n")).select("depot", "train", "date", F.lit("OPR").alias("design"), "bu", "k", "n")
 
 
-def rolling(d: DataFrame, side: float, target: float, engine: str = "mcf", seed: int = 42, annual: bool = False, lambdas=LAMBDAS, time_limit: float = 10.0) -> DataFrame:
+def rolling(d: DataFrame, side: float, target: float, engine: str = "mcf", seed: int = 42, annual: bool = False, lambdas=LAMBDAS, time_limit: float = 10.0,
+            plans: DataFrame | None = None) -> DataFrame:
     """Assignments of all policies: train on a month, apply to each weekday of the next."""
     cols = ["depot", "train", "date", "design", "bu", "k", "n"]
-    # three policies read the plans: keep them, they are a row per unit and month
-    plans = fix_plans(units_for_plan(d, side, target, annual), engine, seed=seed).cache()
+    # three policies read the plans, a row per unit and month
+    if plans is None:
+        plans = cut(fix_plans(units_for_plan(d, side, target, annual), engine, seed=seed))
     loads = day_loads(d)
     out = fixed(plans, loads).unionByName(rebalanced(plans, loads, lambdas, time_limit).select(*cols))
-    return out.unionByName(daily(plans, loads, seed, engine).select(*cols)).unionByName(couriers(d))
+    out = out.unionByName(daily(plans, loads, seed, engine).select(*cols))
+    sizes = plans.groupBy("depot", "train").agg(F.max("n_districts").alias("n_districts"))
+    return out.join(sizes, ["depot", "train"]).unionByName(couriers(d), allowMissingColumns=True)
 
 
-def rolling_metrics(a: DataFrame) -> DataFrame:
-    """Continuity, moved share and load measures of assignments, by day and design. Districts
-    left empty on a day count with load zero, up to the month's number of districts."""
-    a = a.withColumn("m", F.col("train") + 1)
-    plan = a.filter("design <> 'OPR'")
-    size = plan.groupBy("depot", "train").agg((F.max("k") + 1).cast("bigint").alias("size"))
+def plan_metrics(plan: DataFrame) -> DataFrame:
+    """Continuity, moved share and load measures of districts, by day and design. Districts
+    left empty on a day count with load zero, up to the plan's number of districts."""
+    plan = plan.withColumn("m", F.col("train") + 1)
+    size = plan.groupBy("depot", "train").agg(F.max("n_districts").cast("bigint").alias("size"))
     load = plan.groupBy("depot", "train", "date", "design", "k").agg(F.sum("n").alias("load"))
     every = plan.select("depot", "train", "date", "design").distinct().join(size, ["depot", "train"])
     every = every.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
     loads = every.join(load, ["depot", "train", "date", "design", "k"], "left").withColumn("load", F.coalesce("load", F.lit(0)))
     out = districts.district_metrics(loads.select("depot", "date", "design", "k", "load"))
-    out = out.join(districts.continuity(plan), ["depot", "date", "design"]).join(districts.moved_share(plan), ["depot", "date", "design"])
-    own = a.filter("design = 'OPR'")
+    return out.join(districts.continuity(plan), ["depot", "date", "design"]).join(districts.moved_share(plan), ["depot", "date", "design"])
+
+
+def rolling_metrics(a: DataFrame) -> DataFrame:
+    """:func:`plan_metrics` of the policies and the same for the operator's couriers."""
+    own = a.filter("design = 'OPR'").withColumn("m", F.col("train") + 1)
     opr = districts.district_metrics(own.groupBy("depot", "date", "design", "k").agg(F.sum("n").alias("load")))
     opr = opr.withColumn("in5", F.lit(None).cast("double")).join(districts.continuity_couriers(own), ["depot", "date"]).withColumn("moved_share", F.lit(0.0))
-    return out.unionByName(opr)
+    return plan_metrics(a.filter("design <> 'OPR'")).unionByName(opr)
 
 
 def spread_and_tours(d: DataFrame, a: DataFrame) -> DataFrame:
@@ -214,7 +261,8 @@ def identity_labels(d: DataFrame, seed: int = 0) -> DataFrame:
         return pd.concat(out, ignore_index=True)
 
     schema = "depot string, m int, date date, x double, y double, cid bigint, random bigint, aligned bigint"
-    return d.select("depot", "m", "date", "t", "barcode", "x", "y", "cid").repartition("depot", "m").groupBy("depot", "m").applyInPandas(fold, schema)
+    rows = d.select("depot", "m", "date", "t", "barcode", "x", "y", "cid")
+    return deal(rows, "depot", "m").groupBy("depot", "m").applyInPandas(fold, schema)
 
 
 def identity_hulls(labels: DataFrame, top: int = 5) -> DataFrame:
@@ -222,21 +270,13 @@ def identity_hulls(labels: DataFrame, top: int = 5) -> DataFrame:
     each = F.array(*[F.struct(F.lit(v).alias("kind"), F.col(v).alias("label")) for v in ("cid", "random", "aligned")])
     rows = labels.select("depot", "date", "x", "y", F.explode(each).alias("e")).select("depot", "date", "x", "y", "e.kind", "e.label")
 
-    def area(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{c: g[c].iloc[0] for c in ("depot", "date", "kind", "label")}, "n": len(g), "area": C.hull_area(g[["x", "y"]].to_numpy())}])
-
     from pyspark.sql import Window
 
-    out = rows.groupBy("depot", "date", "kind", "label").applyInPandas(area, "depot string, date date, kind string, label bigint, n int, area double")
+    out = per_group(rows, ("depot", "date", "kind", "label"), ("x", "y"), lambda x, y: (len(x), C.hull_area(np.c_[x, y])), "n int, area double")
     w = Window.partitionBy("depot", "date", "kind").orderBy(F.col("n").desc(), "label")
     return out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= top).drop("r")
 
 
 def tour_estimates(p: DataFrame, keys: tuple = ("depot", "date", "design", "k")) -> DataFrame:
     """Tour length estimate (km) of each group of points."""
-
-    def one(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{c: g[c].iloc[0] for c in keys}, "n": len(g), "bhh_km": C.tour_bhh(g[["x", "y"]].to_numpy()) / 1000}])
-
-    kinds = dict(p.dtypes)
-    return p.select(*keys, "x", "y").groupBy(*keys).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n int, bhh_km double")
+    return per_group(p, keys, ("x", "y"), lambda x, y: (len(x), C.tour_bhh(np.c_[x, y]) / 1000), "n int, bhh_km double")

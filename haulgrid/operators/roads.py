@@ -80,8 +80,14 @@ def circuity(od: DataFrame, least_km: float = 0.3) -> DataFrame:
     return od.filter(ok).groupBy("depot").agg(F.median(F.col("km") / F.col("euclid_km")).alias("circ"))
 
 
+def snap_summary(snapped: DataFrame) -> DataFrame:
+    """Median and 95th percentile of the distance from stops (depot, snap_m) to their node."""
+    return snapped.groupBy("depot").agg(
+        F.median("snap_m").alias("snap_median"), F.percentile("snap_m", F.lit(0.95)).alias("snap_p95"))
+
+
 def od_diagnostics(od: DataFrame) -> DataFrame:
-    """Unreachable pairs, circuity and mean ratio of times, by depot."""
+    """Unreachable pairs, circuity and mean ratio of the shortest way's minutes to the fastest's, by depot."""
     return od.groupBy("depot").agg(
         F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("km").isNull()).alias("unreachable"),
         F.median(F.when((F.col("o") != F.col("d")) & (F.col("euclid_km") > 0.3), F.col("km") / F.col("euclid_km"))).alias("circ"),

@@ -117,3 +117,20 @@ def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
     sums = pairs.select(F.col("x.depot").alias("depot"), F.col("x.date").alias("date"), sa.alias("sa"), sb.alias("sb")).groupBy("depot", "date").agg(
         F.sum(F.col("sa") * F.col("sb")).alias("s"), F.sum(F.abs("sa")).alias("na"), F.sum(F.abs("sb")).alias("nb"))
     return sums.select("depot", "date", F.try_divide(F.col("s"), F.sqrt(F.col("na") * F.col("nb"))).alias("tau"))
+
+
+def kendall_summary(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Median of the days' tau-b (days without one left out), and the percentage of depot-days on
+    which both measures are lowest for the same design, ties to the first design by name."""
+    def lowest(c: str) -> Column:
+        return F.min(F.when(F.col(c).isNotNull(), F.struct(c, "design")))
+
+    best = df.groupBy("depot", "date").agg(lowest(a).alias("x"), lowest(b).alias("y"))
+    same = best.agg((F.avg((F.col("x.design") == F.col("y.design")).cast("int")) * 100).alias("same_best"), _n().alias("days"))
+    return kendall(df, a, b).agg(F.median("tau").alias("tau_median")).crossJoin(same)
+
+
+def month_means(d: DataFrame) -> DataFrame:
+    """Mean difference by comparison, scope (all depots and each) and month."""
+    rows = d.withColumn("scope", F.explode(F.array(F.lit("All"), F.col("depot"))))
+    return rows.groupBy("comp", "scope", F.month("date").alias("month")).agg(F.avg("d").alias("mean_d"))

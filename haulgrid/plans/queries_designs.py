@@ -222,6 +222,15 @@ def kendall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.kendall(fx.metrics(spark, sf_dir), "road_km", "total_km")
 
 
+@query(with_views("metrics", more={"p": """SELECT x.depot, x.date, sign(x.road_km - y.road_km) AS sa, sign(x.total_km - y.total_km) AS sb FROM metrics x JOIN metrics y
+        ON x.depot = y.depot AND x.date = y.date AND x.design < y.design""",
+        "t": "SELECT depot, date, sum(sa * sb) / nullif(sqrt(sum(abs(sa)) * sum(abs(sb))), 0) AS tau FROM p GROUP BY depot, date",
+        "b": "SELECT depot, date, min({a: road_km, d: design}) AS x, min({a: total_km, d: design}) AS y FROM metrics GROUP BY depot, date"}) +
+       "SELECT (SELECT median(tau) FROM t) AS tau_median, 100 * avg(CAST(x.d = y.d AS INTEGER)) AS same_best, count(*) AS days FROM b", "tau_median same_best")
+def kendall_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return statistics.kendall_summary(fx.metrics(spark, sf_dir), "road_km", "total_km")
+
+
 SIDE = 20
 _GRID = f"""SELECT CAST(i AS BIGINT) AS node, CAST(i % {SIDE} * 110 AS DOUBLE) AS x, CAST(i // {SIDE} * 130 + (i * 7) % 11 AS DOUBLE) AS y FROM range({SIDE * SIDE + 2}) t(i)"""
 #: Ways of the grid: rows and columns of streets, every third one-way, one apart from the rest.
@@ -318,7 +327,7 @@ def study_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depot medians and the range of offsets around them."""
     d = fx.deliv(spark, sf_dir).filter("dow < 5")
     mid = d.groupBy("depot").agg(F.median("x").alias("mx"), F.median("y").alias("my"))
-    return d.join(F.broadcast(mid), "depot").groupBy("depot").agg(
+    return d.join(mid, "depot").groupBy("depot").agg(
         F.first("mx").alias("mx"), F.first("my").alias("my"), F.percentile(F.col("x") - F.col("mx"), 0.002).alias("x_lo"),
         F.percentile(F.col("x") - F.col("mx"), 0.998).alias("x_hi"))
 

@@ -37,7 +37,7 @@ def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(with_views("lines") + """SELECT 'Depot0' || (l_suppkey % 10 // 2) AS depot, count(*) AS n FROM lines
         WHERE l_suppkey % 10 // 2 BETWEEN 1 AND 4 GROUP BY ALL""")
 def facility_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of mapped facilities only, by depot; the map is a few rows and broadcast."""
+    """Events of mapped facilities only, by depot."""
     pairs = [(f"{c:02d}", f"Depot0{c // 2}") for c in range(10)]
     mapped = readers.check_facility_map(spark.createDataFrame(pairs, "FacilityCode string, depot string"))
     events = fx.read(spark, sf_dir, "lineitem").select(F.lpad((F.col("l_suppkey") % 10).cast("string"), 2, "0").alias("FacilityCode"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import product
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -11,33 +11,29 @@ from pyspark.sql import functions as F
 
 from haulgrid.functions import geo
 from haulgrid.functions.roads import speed_variants
-from haulgrid.operators import designs, districts, policies, roads, routing, statistics
+from haulgrid.operators import designs, districts, policies, roads, routing
+from haulgrid.operators.groups import per_group
 from haulgrid.operators.kernels import assignment as A
 from haulgrid.operators.kernels import clusters as C
 from haulgrid.operators.kernels import tours as K
-from haulgrid.plans.queries_designs import PAIRS, grid_edges, grid_nodes
+from haulgrid.plans.queries_designs import _WITH_EDGES, PAIRS, grid_edges, grid_nodes
 from haulgrid.plans.registry import query
-from haulgrid.sources import bu_loads
+from haulgrid.sources import bu_loads, readers, sinks
 from haulgrid.sources import fixtures as fx
-from haulgrid.sources.stage import cut
+from haulgrid.sources.stage import cut, deal, shared_folder
 
-#: Cells of 1,000 m and a target that suits the stand-in data.
-SIDE, TARGET = 1000.0, 10.0
+#: Cells of 1,000 m, for the stand-in data are sparse, and parcels a district: fixed, so a larger
+#: scale has more districts (two at sf0.01, about ten at sf0.1).
+SIDE, TARGET = 1000.0, 40.0
 
 
 def _d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.deliv(spark, sf_dir, SIDE)
 
 
-def _target(d: DataFrame) -> float:
-    """Parcels per district such that a day has about four districts at any scale."""
-    days = d.filter("dow < 5").groupBy("depot", "date").agg(F.count(F.lit(1)).alias("V"))
-    return max(TARGET, float(days.agg(F.avg("V")).first()[0] or 0) / 4)
-
-
 def _plans(spark, sf_dir, engine="mcf", seed=42, annual=False):
     d = _d(spark, sf_dir)
-    return d, policies.fix_plans(policies.units_for_plan(d, SIDE, _target(d), annual), engine, seed=seed)
+    return d, policies.fix_plans(policies.units_for_plan(d, SIDE, TARGET, annual), engine, seed=seed)
 
 
 @query()
@@ -64,7 +60,7 @@ def cap_generic_wvor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _kernel_on_demand(spark, sf_dir, name, kernel) -> DataFrame:
     """Labels that a kernel gives the units of each depot and month around seeded centres."""
     d = _d(spark, sf_dir)
-    units = policies.units_for_plan(d, SIDE, _target(d)).filter("w > 0")
+    units = policies.units_for_plan(d, SIDE, TARGET).filter("w > 0")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bu")
@@ -72,7 +68,7 @@ def _kernel_on_demand(spark, sf_dir, name, kernel) -> DataFrame:
         centers = C.kpp(points, w, int(g["n_districts"].iloc[0]), np.random.default_rng(1))
         return pd.DataFrame({"depot": key[0], "train": key[1], "bu": g["bu"], "w": w, "k": kernel(points, w, centers)})
 
-    return units.groupBy("depot", "train").applyInPandas(run, "depot string, train int, bu string, w double, k int")
+    return deal(units, "depot", "train").groupBy("depot", "train").applyInPandas(run, "depot string, train int, bu string, w double, k int")
 
 
 @query()
@@ -102,7 +98,7 @@ def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(p, w, c):
         d = A.distances(p, p)
         near = [np.flatnonzero((row > 0) & (row < SIDE * 1.8)).tolist() for row in d]
-        return A.repair(p, w, A.nearest(p, c), len(c), near)
+        return A.repair(p, w, A.nearest(p, c), len(c), near, centers=c)
 
     return _kernel_on_demand(spark, sf_dir, "repair", kernel)
 
@@ -131,6 +127,34 @@ def policy_pen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policies.rebalanced(plans, policies.day_loads(d)).drop("sec")
 
 
+@query()
+def solver_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rebalancing's calls, a row each."""
+    d, plans = _plans(spark, sf_dir)
+    return policies.solver_log(policies.rebalanced(plans, policies.day_loads(d))).drop("sec")
+
+
+@query()
+def assignment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """District (or courier) of every unit and test day under every policy."""
+    return policies.rolling(_d(spark, sf_dir), SIDE, TARGET)
+
+
+@query(rounded="inband moved_share")
+def plan_age_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed plan and rebalancing by test month, with plans of the month before and of January."""
+    d, out = _d(spark, sf_dir), None
+    for annual in (False, True):
+        plans = cut(_plans(spark, sf_dir, annual=annual)[1])
+        loads = policies.day_loads(d)
+        a = policies.fixed(plans, loads).unionByName(
+            policies.rebalanced(plans, loads, (1000.0,)).select("depot", "train", "date", "design", "bu", "k", "n"))
+        a = a.join(plans.groupBy("depot", "train").agg(F.max("n_districts").alias("n_districts")), ["depot", "train"])
+        part = designs.plan_age(policies.plan_metrics(cut(a)).withColumn("annual", F.lit(annual)), ("annual", "design"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query()
 def policy_dws(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, plans = _plans(spark, sf_dir)
@@ -161,7 +185,7 @@ def policy_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(d: DataFrame, side: float, target: float, **how) -> DataFrame:
-    a = policies.rolling(d, side, target, **how).cache()  # read by every measure
+    a = cut(policies.rolling(d, side, target, **how))  # read by every measure
     return policies.rolling_metrics(a).join(policies.spread_and_tours(d, a), ["depot", "date", "design"], "left")
 
 
@@ -170,8 +194,7 @@ def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All policies over the evaluation window, measured, with plans learnt anew each month and
     with those of the first month only."""
     d = _d(spark, sf_dir)
-    target = _target(d)
-    month, year = (_measured(d, SIDE, target, annual=annual).withColumn("annual", F.lit(annual)) for annual in (False, True))
+    month, year = (_measured(d, SIDE, TARGET, annual=annual).withColumn("annual", F.lit(annual)) for annual in (False, True))
     return month.unionByName(year)
 
 
@@ -185,17 +208,14 @@ def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sensitivity(spark, sf_dir, sides=(1000.0, 1500.0), factors=(1.0, 1.5), seeds=(42, 1, 2, 3), engines=("mcf", "greedy", "wvor")) -> DataFrame:
     out = None
     for side in sides:
-        d = fx.deliv(spark, sf_dir, side)
-        base = _target(d)
-        for factor, seed, engine in product(factors, seeds, engines):
-            plans = policies.fix_plans(policies.units_for_plan(d, side, base * factor), engine, seed=seed)
-            load = plans.filter("trained").groupBy("depot", "train", "k").agg(F.sum("w").alias("load"))
-            days = policies.day_loads(d).select("depot", "train", "date").distinct()
-            balance = days.join(districts.plan_balance(load, ("depot", "train")), ["depot", "train"])
-            part = _measured(d, side, base * factor, engine=engine, seed=seed, lambdas=(1000.0,)).join(balance, ["depot", "date"]).select(
-                F.lit(side).alias("side"), F.lit(factor).alias("target_factor"), F.lit(seed).alias("seed"), F.lit(engine).alias("engine"), "*")
-            part = cut(part)  # else the plan grows with the grid
-            out = part if out is None else out.unionByName(part)
+        d = cut(policies.scenarios(fx.deliv(spark, sf_dir, side).select("depot", "date", "m", "dow", "cid", "x", "y", "q", "r", "bu"), factors, seeds, engines))
+        plans = cut(policies.fix_plans(policies.units_for_plan(d, side, TARGET)))
+        load = plans.filter("trained").groupBy("depot", "train", "k").agg(F.sum("w").alias("load"))
+        days = policies.day_loads(d).select("depot", "train", "date").distinct()
+        balance = days.join(districts.plan_balance(load, ("depot", "train")), ["depot", "train"])
+        part = _measured(d, side, TARGET, lambdas=(1000.0,), plans=plans).join(balance, ["depot", "date"])
+        part = part.select(F.lit(side).alias("side"), *policies.scenario_columns(), *[c for c in part.columns if c != "depot"])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
@@ -245,15 +265,21 @@ def scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.largest_component(grid_nodes(spark), grid_edges(spark))
 
 
-def _stops(spark, sf_dir) -> DataFrame:
-    """Stops (depot, o, node): units at their nearest node of the street grid, and a depot '@'."""
+def _snapped(spark, sf_dir) -> DataFrame:
+    """Units (depot, o) at their nearest node of the street grid's largest component, and how far that is."""
     units = _d(spark, sf_dir).filter("dow < 5").groupBy("depot", "bu").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     points = units.select(F.concat_ws(" ", "depot", "bu").alias("id"), (F.col("x") / 6).alias("x"), (F.col("y") / 6).alias("y"))
     nodes = grid_nodes(spark).join(routing.largest_component(grid_nodes(spark), grid_edges(spark)), "node", "left_semi")
     placed = roads.snap_nodes(points, nodes, 150.0)
     part = F.split("id", " ")
+    return placed.select(part[0].alias("depot"), part[1].alias("o"), "node", "snap_m")
+
+
+def _stops(spark, sf_dir) -> DataFrame:
+    """Stops (depot, o, node): units at their nearest node, and a depot '@'."""
+    nodes = grid_nodes(spark).join(routing.largest_component(grid_nodes(spark), grid_edges(spark)), "node", "left_semi")
     home = nodes.agg(F.min("node").alias("node")).crossJoin(spark.createDataFrame([(d,) for d in fx.DEPOTS], "depot string")).select("depot", F.lit("@").alias("o"), "node")
-    return placed.select(part[0].alias("depot"), part[1].alias("o"), "node").unionByName(home)
+    return _snapped(spark, sf_dir).drop("snap_m").unionByName(home)
 
 
 def _od(spark, sf_dir, weight="length", times="tt_mapped") -> DataFrame:
@@ -279,11 +305,20 @@ def od_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(rounded="circ time_ratio")
+@query(rounded="circ time_ratio snap_median snap_p95")
 def od_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stops = _stops(spark, sf_dir).join(grid_nodes(spark), "node").select("depot", F.col("o").alias("bu"), "x", "y")
     fast = _od(spark, sf_dir, "time").select("depot", "o", "d", F.col("min").alias("min_fast"))
-    return roads.od_diagnostics(_od(spark, sf_dir).join(fast, ["depot", "o", "d"]).join(roads.od_euclid(stops), ["depot", "o", "d"]))
+    od = _od(spark, sf_dir).join(fast, ["depot", "o", "d"]).join(roads.od_euclid(stops), ["depot", "o", "d"])
+    return roads.od_diagnostics(od).join(roads.snap_summary(_snapped(spark, sf_dir)), "depot")
+
+
+@query(_WITH_EDGES + "SELECT u, v, length_m, tt_s FROM (SELECT u, v, length_m, tt_s FROM edges)", rounded="length_m tt_s")
+def network_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a road network that was written as tables and read again."""
+    folder = f"{shared_folder(spark)}/network-{uuid.uuid4().hex}"
+    sinks.write_network(grid_nodes(spark), grid_edges(spark), None, folder)
+    return readers.read_network(spark, folder)["edges"]
 
 
 def _assign(spark, sf_dir) -> DataFrame:
@@ -335,12 +370,11 @@ def route_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tour_kernel(spark, sf_dir, kernel) -> DataFrame:
     """Length of a tour kernel over the points of each courier-day."""
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p = g.sort_values(["t", "event_id"])[["x", "y"]].to_numpy()
-        d = A.distances(p, p)
-        return pd.DataFrame([{"depot": g["depot"].iloc[0], "date": g["date"].iloc[0], "cid": g["cid"].iloc[0], "n": len(p), "km": kernel(d) / 1000}])
+    def run(t, event_id, x, y) -> tuple:
+        p = np.c_[x, y]
+        return len(p), kernel(A.distances(p, p)) / 1000
 
-    return fx.seq(spark, sf_dir).groupBy("depot", "date", "cid").applyInPandas(run, "depot string, date date, cid bigint, n int, km double")
+    return per_group(fx.seq(spark, sf_dir), ("depot", "date", "cid"), ("t", "event_id", "x", "y"), run, "n int, km double")
 
 
 @query(rounded="km")
@@ -358,13 +392,12 @@ def route_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tour_kernel(spark, sf_dir, lambda d: K.route_single(d, d)[0])
 
 
-@query(rounded="mean_diff boot_lo boot_hi p_week_wilcoxon")
+@query(rounded="mean_diff boot_lo boot_hi p_week_wilcoxon p_month_wilcoxon")
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each measure's intervals by themselves, of 5,000 draws."""
+    """Each measure's cluster-robust table, of 5,000 draws."""
     metrics, out = fx.metrics(spark, sf_dir), None
     for name in ("inband", "cv", "total_km", "cont"):
-        weeks = statistics.week_sums(designs.pair_differences(metrics, name, PAIRS))
-        part = routing.cluster_bootstrap(weeks).withColumn("metric", F.lit(name))
+        part = routing.cluster_table(designs.pair_differences(metrics, name, PAIRS)).withColumn("metric", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 

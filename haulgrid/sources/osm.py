@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,11 +129,16 @@ def decode(block: bytes) -> tuple[list[tuple], list[tuple]]:
     return nodes, ways
 
 
+def open_input(path: str) -> pa.NativeFile:
+    store, name = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    return store.open_input_file(name)
+
+
 def read_pbf(spark: SparkSession, path: str, per_task: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(nodes, ways) of an extract on a path that all executors can open."""
-    with open(path, "rb") as file:
-        file.seek(0, 2)
-        end = file.tell()
+    """(nodes, ways) of an extract: a path that all executors can open, or a URI of a store that
+    Arrow's file systems know (s3, gs, hdfs, file)."""
+    with open_input(path) as file:
+        end = file.size()
 
         def read(at: int, n: int) -> bytes:
             file.seek(at)
@@ -145,7 +151,7 @@ def read_pbf(spark: SparkSession, path: str, per_task: int = 64) -> tuple[DataFr
         def run(batches):
             for b in batches:
                 for name, at, n in zip(*(b.column(c).to_pylist() for c in ("path", "at", "n")), strict=True):
-                    with open(name, "rb") as file:
+                    with open_input(name) as file:
                         file.seek(at)
                         nodes, ways = decode(unpack(file.read(n)))
                     if want == "nodes" and nodes:

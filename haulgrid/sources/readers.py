@@ -44,7 +44,7 @@ def check_facility_map(df: DataFrame) -> DataFrame:
 
 def apply_facility_map(events: DataFrame, mapped: DataFrame) -> DataFrame:
     """Events of mapped facilities; the map has a row per facility of four depots."""
-    return events.join(F.broadcast(mapped), "FacilityCode")
+    return events.join(mapped, "FacilityCode")
 
 
 def check_depots(df: DataFrame) -> DataFrame:
@@ -93,3 +93,11 @@ def read_if_all(spark: SparkSession, paths: list[str]) -> list[DataFrame] | None
         if not where.getFileSystem(conf).exists(where):
             return None
     return [spark.read.parquet(p) for p in paths]
+
+
+def read_network(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The tables of a road network that were written below a folder: nodes, edges and, if there, od."""
+    found = {"nodes": f"{folder}/nodes", "edges": f"{folder}/edges"}
+    tables = {name: spark.read.parquet(path) for name, path in found.items()}
+    od = read_if_all(spark, [f"{folder}/od"])
+    return tables | ({"od": od[0]} if od else {})

@@ -3,15 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and kept in the folder that driver and executors share, so a loop's plan
-    does not grow. The session names that folder; only where it does not (tests on one machine)
-    a temporary one is set."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session's spark.checkpoint.dir names it.
+    A session on one machine may leave it unset; on a cluster that is an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="haulgrid-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="haulgrid-"))
-    return df.checkpoint()
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the folder that driver and executors share, and read back: a
+    loop's plan does not grow, what several readers need is computed once, and a lost executor
+    costs only a new read."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def deal(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by keys over three tasks a core. Groups of kernels are few bytes and much work;
+    adaptive execution, which looks at bytes, merges only partitions whose number isn't given."""
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -128,3 +128,84 @@ def test_bootstrap_has_all_measures(spark):
     got = QUERIES["cluster_bootstrap"](spark, SF).cache()
     assert {r.metric for r in got.select("metric").distinct().collect()} == {"inband", "cv", "total_km", "cont"}
     assert got.groupBy("metric", "comp", "scope").count().filter("count > 1").isEmpty()
+
+
+def test_plan_age_of_both_modes(spark):
+    got = QUERIES["plan_age_rolling"](spark, SF).collect()
+    assert {(r.annual, r.design) for r in got} == {(a, d) for a in (False, True) for d in ("FIX", "PEN1000")}
+    assert all(2 <= r.test <= 12 and 0 <= r.inband <= 1 for r in got)
+    assert all(r.moved_share == 0 for r in got if r.design == "FIX")
+    # in February both modes have learnt from January
+    for d in ("FIX", "PEN1000"):
+        one, two = [[(r.inband, r.moved_share) for r in got if r.design == d and r.test == 2 and r.annual == a] for a in (False, True)]
+        assert one == two
+
+
+def test_a_month_without_training_demand_says_so(spark):
+    units = spark.createDataFrame([("D", 1, 2, "0_0", 0.0, 0.0, 0.0), ("D", 1, 2, "1_0", 9.0, 0.0, 0.0)],
+                                  "depot string, train int, n_districts int, bu string, x double, y double, w double")
+    got = policies.fix_plans(units).collect()
+    assert [(r.bu, r.k, r.status) for r in sorted(got)] == [("0_0", None, "no demand in training"), ("1_0", None, "no demand in training")]
+
+
+def test_an_empty_last_district_still_counts(spark):
+    day = __import__("datetime").date(2025, 2, 3)
+    a = spark.createDataFrame([("D", 1, day, "FIX", "a", 0, 4, 3), ("D", 1, day, "FIX", "b", 1, 2, 3)],
+                              "depot string, train int, date date, design string, bu string, k int, n int, n_districts int")
+    r = policies.plan_metrics(a).first()
+    assert abs(r.inband - 1 / 3) < 1e-12  # loads 4, 2, 0 around a mean of 2
+
+
+def test_solver_log_has_a_row_a_call(spark):
+    log = QUERIES["solver_log"](spark, SF).cache()
+    solved = QUERIES["policy_pen"](spark, SF)
+    assert log.count() == solved.select("depot", "date", "lam").distinct().count()
+    assert log.filter("status = 'infeasible' AND NOT fallback").isEmpty()
+
+
+def test_cluster_table_by_hand(spark):
+    from datetime import date, timedelta
+
+    from haulgrid.operators import routing
+
+    days = [(c, dep, date(2025, 1, 1) + timedelta(days=k), float((k * 7 + len(dep)) % 5 - 1)) for c in ("A - B",) for dep in ("X", "YY") for k in range(200)]
+    got = {r.scope: r for r in routing.cluster_table(spark.createDataFrame(days, "comp string, depot string, date date, d double"), 500).collect()}
+    assert set(got) == {"All", "X", "YY"}
+    for scope, r in got.items():
+        own = [x for x in days if scope in ("All", x[1])]
+        mean = sum(x[3] for x in own) / len(own)
+        months = {}
+        for x in own:
+            months.setdefault(x[2].month, []).append(x[3])
+        same = sum(math.copysign(1, sum(v)) == math.copysign(1, mean) for v in months.values())
+        assert abs(r.mean_diff - mean) < 1e-12 and r.months_same_sign == f"{same}/{len(months)}"
+        assert r.boot_lo <= mean <= r.boot_hi and 0 <= r.p_month_wilcoxon <= 1
+
+
+def test_routes_against_the_kernel_and_graph_limits(spark, monkeypatch):
+    from haulgrid.operators import routing
+    from haulgrid.operators.kernels import tours as K
+    import numpy as np
+
+    day = __import__("datetime").date(2025, 2, 3)
+    rng = np.random.default_rng(0)
+    names = ["@", "a", "b", "c", "d", "e"]
+    km = rng.random((6, 6)) + 0.1
+    np.fill_diagonal(km, 0)
+    od = spark.createDataFrame([("base", "D", o, d, float(km[i, j]), float(2 * km[i, j])) for i, o in enumerate(names) for j, d in enumerate(names)],
+                               "variant string, depot string, o string, d string, km double, min double")
+    assign = spark.createDataFrame([("D", day, "FIX", 0, u, 2) for u in "abc"] + [("D", day, "FIX", 1, u, 1) for u in "de"],
+                                   "depot string, date date, design string, k int, bu string, n int")
+    got = {r.k: r for r in routing.routes(assign, od, seeds=(0, 3)).filter("seed = 0").collect()}
+    for k, units, parcels in ((0, [0, 1, 2, 3], 6), (1, [0, 4, 5], 2)):
+        own = km[np.ix_(units, units)]
+        want = K.route_multi(own, 2 * own, 6, 0)
+        assert abs(got[k].route_km - want[0]) < 1e-9 and got[k].parcels == parcels and got[k].stops == len(units) - 1
+    nodes = spark.createDataFrame([(1,), (2,)], "node bigint")
+    edges = spark.createDataFrame([(1, 2, 5.0, 1.0)], "u bigint, v bigint, length_m double, tt_s double")
+    monkeypatch.setattr(routing, "MAX_BYTES", 20)
+    with pytest.raises(ValueError, match="too large"):
+        routing.collect_graph(nodes, edges)
+    monkeypatch.undo()
+    with pytest.raises(ValueError, match="not in the graph"):
+        routing.collect_graph(nodes, edges.selectExpr("u", "v + 7 AS v", "length_m", "tt_s"))
