@@ -199,6 +199,97 @@ class _Flow:
         return whole - whole.min(1, keepdims=True)
 
 
+class _Knapsacks:
+    """A stronger bound: each unit's single place is priced, each district then picks the cheapest
+    set of units whose load is within bounds, exactly, over whole loads.
+
+    All districts advance together, one candidate unit each a step. ``tail`` tables from the last
+    candidate back give, with the forward ones, the least cost of any single pick, by which pairs
+    are ruled out.
+    """
+
+    def __init__(self, whole: np.ndarray, w: np.ndarray, lo: float, hi: float):
+        self.whole, self.w, self.lo, self.hi = whole, w.astype(int), int(lo), int(hi)
+        self.k = whole.shape[1]
+
+    def _tables(self, unit, weight, gain, must):
+        """Cheapest cost of each load after each candidate, and whether it is taken there."""
+        k, size, rows = self.k, self.hi + 1, np.arange(self.k)[:, None]
+        best = np.full((k, size), np.inf)
+        best[:, 0] = 0.0
+        table, taken, loads = [best], [], np.arange(size)
+        for j in range(len(unit)):
+            back = loads - weight[j][:, None]
+            with_it = np.where(back >= 0, best[rows, np.maximum(back, 0)], np.inf) + gain[j][:, None]
+            take = with_it < best
+            take |= must[j][:, None]
+            best = np.where(take, with_it, best)
+            taken.append(take)
+            table.append(best)
+        return table, taken
+
+    def improve(self, allowed: np.ndarray, price: np.ndarray, upper: float, rounds: int, spread: float = 1.0):
+        """Best bound found by subgradient steps from ``price``: bound, price, step size to go on
+        with, layout for :meth:`forced`, and which pairs it picks."""
+        n, k = self.whole.shape
+        counts = allowed.sum(0)
+        m = int(counts.max())
+        unit, valid = np.zeros((m, k), int), np.zeros((m, k), bool)
+        for d in range(k):
+            own = np.flatnonzero(allowed[:, d])
+            unit[:len(own), d], valid[:len(own), d] = own, True
+        cols = np.arange(k)
+        weight = np.where(valid, self.w[unit], 0)
+        must = valid & (allowed.sum(1) == 1)[unit]
+        cost = np.where(valid, self.whole[unit, cols], np.inf)
+        top, at_top, last, pick = -np.inf, price, 0, None
+        for r in range(rounds):
+            gain = cost - np.where(valid, price[unit], 0.0)
+            table, taken = self._tables(unit, weight, gain, must)
+            end = table[-1][:, self.lo:]
+            load = end.argmin(1)
+            value = float(price.sum() + end[cols, load].sum())
+            if not np.isfinite(value):
+                return np.inf, price, spread, None, None
+            load, places, chosen = load + self.lo, np.zeros(n), np.zeros((n, k), bool)
+            for j in range(m - 1, -1, -1):
+                t = taken[j][cols, load]
+                np.add.at(places, unit[j][t], 1)
+                chosen[unit[j][t], cols[t]] = True
+                load = load - np.where(t, weight[j], 0)
+            if value > top + 1e-9:
+                top, at_top, last, pick = value, price, r, chosen
+            elif r - last >= 5:
+                spread, last, price = spread / 2, r, at_top
+                continue
+            miss = 1 - places
+            if top >= upper or not miss.any() or spread < 1e-3:
+                break
+            price = price + miss * spread * (upper * 1.02 - value) / (miss @ miss)
+        return top, at_top, spread, (unit, valid, weight, must, cost), pick
+
+    def forced(self, price: np.ndarray, value: float, layout: tuple) -> np.ndarray:
+        """Bound with each pair picked, infinite where it can't be."""
+        unit, valid, weight, must, cost = layout
+        gain = cost - np.where(valid, price[unit], 0.0)
+        ahead, _ = self._tables(unit, weight, gain, must)
+        tail, _ = self._tables(unit[::-1], weight[::-1], gain[::-1], must[::-1])
+        k, size, cols = self.k, self.hi + 1, np.arange(self.k)
+        now = ahead[-1][:, self.lo:].min(1)
+        out = np.full(self.whole.shape, np.inf)
+        rows, loads = cols[:, None], np.arange(size)
+        for j in range(len(unit)):
+            # cheapest tail whose load brings a load before it within the bounds
+            low = np.lib.stride_tricks.sliding_window_view(
+                np.pad(tail[len(unit) - j - 1], ((0, 0), (self.hi, self.hi)), constant_values=np.inf), self.hi - self.lo + 1, axis=1).min(2)
+            first = self.lo - weight[j][:, None] - loads + self.hi
+            rest = np.where(first >= 0, low[rows, np.clip(first, 0, low.shape[1] - 1)], np.inf)
+            best = (ahead[j] + rest).min(1) + gain[j]
+            ok = valid[j]
+            out[unit[j][ok], cols[ok]] = value - now[ok] + best[ok]
+        return out
+
+
 def _polish(lab: np.ndarray, whole: np.ndarray, w: np.ndarray, lo: float, hi: float, rounds: int = 200) -> np.ndarray:
     """Single moves and swaps of two units while one lowers the cost within the bounds."""
     n, k = whole.shape
@@ -274,17 +365,44 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
     def enough(value: float) -> bool:
         return best is not None and value >= best_cost - gap * abs(best_cost)
 
+    def tighten(value: float, node: _Flow, price: np.ndarray, turns: int) -> tuple[float, np.ndarray]:
+        """Raise a node's bound by knapsacks and, by turns, rule out the pairs that alone exceed
+        what the best whole assignment leaves."""
+        spread = 1.0 if turns > 3 else 0.3
+        for _ in range(turns):
+            allowed, before = node.cost < FAR / 2, value
+            upper = best_cost * (1 - gap) if best is not None else value * 1.05
+            top, price, spread, layout, pick = sacks.improve(allowed, price, upper, 12, spread)
+            if not np.isfinite(top):
+                return np.inf, price
+            offer(rounded(pick * w[:, None], node.cost))
+            value = max(value, top)
+            if best is None or enough(value):
+                break
+            over = allowed & (sacks.forced(price, top, layout) >= best_cost * (1 - gap))
+            for i in np.flatnonzero(over.any(1)):
+                if not node.ban(int(i), np.flatnonzero(over[i])):
+                    return np.inf, price
+            if over.sum() < 0.03 * allowed.sum() and value - before < 0.05 * (best_cost * (1 - gap) - before):
+                break
+        return max(value, node.value()), price
+
     todo, born = [], 0
+    sacks = _Knapsacks(whole, w, lo, hi) if n and np.all(w == np.round(w)) and lo <= hi <= 5000 else None
     if n and w.max() <= hi + 1e-9 and lo <= hi:
         flow, ok = transport(cost, w, lo, hi)
         if ok:
-            todo.append(((flow * cost).sum(), 0, _Flow(cost.copy(), w, lo, hi, flow)))
+            root = _Flow(cost.copy(), w, lo, hi, flow)
+            value = root.value()
+            dual = -root._chains()[0][-1, :-1]
+            price = (whole + w[:, None] * np.where(np.isfinite(dual), dual, 0.0)).min(1)
+            todo.append((value, 0, root, price))
     dive = None
     while todo or dive:
         if time.monotonic() - started > time_limit:
             stopped = True
             break
-        value, _, node = dive or heapq.heappop(todo)
+        value, _, node, price = dive or heapq.heappop(todo)
         dive = None
         if enough(value):
             continue
@@ -295,16 +413,25 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
         if not len(split) or enough(value):
             continue
         if best is not None:
-            far = (node.extra_cost() >= best_cost * (1 - gap) - value) & (node.flow <= node.tol)
+            far = (node.extra_cost() >= best_cost * (1 - gap) - node.value()) & (node.flow <= node.tol)
             node.cost[far] = FAR
+        if sacks is not None:
+            value, price = tighten(value, node, price, 1 if born else 25)
+            if enough(value) or not value < FAR / 2:
+                continue
+            share = node.flow / np.maximum(w, 1e-12)[:, None]
+            split = np.flatnonzero(share.max(1) < 1 - 1e-6)
+            if not len(split):
+                offer(share.argmax(1))
+                continue
         i = int(split[(w[split] * (1 - share[split].max(1))).argmax()])
         keep = int(share[i].argmax())
         children = []
         for out in (np.array([keep]), np.flatnonzero(np.arange(k) != keep)):
             child = node.copy()
-            if child.ban(i, out) and not enough(v := child.value()) and v < FAR / 2:
+            if child.ban(i, out) and not enough(v := max(value, child.value())) and v < FAR / 2:
                 born += 1
-                children.append((v, born, child))
+                children.append((v, born, child, price))
         children.sort(key=lambda c: c[0])
         if children:
             dive = children.pop(0)
@@ -348,22 +475,29 @@ def assign_wvor(points, w, centers, eps=0.05, iters=200) -> np.ndarray:
     return lab
 
 
-def repair(points, w, lab, k, neighbors: list[list[int]], moves: int = 60) -> np.ndarray:
-    """Move border units to an adjacent district while that lowers the worst deviation."""
+def repair(points, w, lab, k, neighbors: list[list[int]], moves: int = 60, centers=None, eps: float = 1 / 7) -> np.ndarray:
+    """Move border units with demand to an adjacent district while that lowers the worse of the
+    two deviations, until all loads are within the band. Of equal gains the unit that is nearer
+    to the district's centre moves."""
     lab, goal = lab.copy(), w.sum() / k
+    if centers is None:
+        centers = np.array([points[lab == c].mean(0) if (lab == c).any() else [np.inf, np.inf] for c in range(k)])
+    far = distances(points, centers)
     for _ in range(moves):
         load = np.bincount(lab, weights=w, minlength=k)
-        best = None
-        for i, near in enumerate(neighbors):
+        if (np.abs(load - goal) <= eps * goal + 1e-9).all():
+            break
+        options = {}
+        for i in np.flatnonzero(w > 0):
             a = lab[i]
-            for b in {lab[j] for j in near} - {a}:
+            for b in {lab[j] for j in neighbors[i]} - {a}:
                 now = max(abs(load[a] - goal), abs(load[b] - goal))
-                new = max(abs(load[a] - w[i] - goal), abs(load[b] + w[i] - goal))
-                if now - new > 1e-9 and (best is None or now - new > best[0]):
-                    best = (now - new, i, b)
-        if best is None:
+                options[i, b] = now - max(abs(load[a] - w[i] - goal), abs(load[b] + w[i] - goal))
+        most = max(options.values(), default=0.0)
+        if most <= 1e-9:
             break
-        lab[best[1]] = best[2]
+        i, b = min((o for o, gain in options.items() if gain > most - 1e-9), key=lambda o: (far[o], o))
+        lab[i] = b
     return lab
 
 

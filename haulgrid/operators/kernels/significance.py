@@ -30,8 +30,9 @@ def signed_rank_p(x: np.ndarray) -> float:
 
 
 def block_bootstrap(sums: np.ndarray, counts: np.ndarray, draws: int = 5000, seed: int = 2026) -> tuple[float, float]:
-    """Percentile interval of a ratio of sums when blocks are drawn again."""
-    rng = np.random.default_rng(seed)
-    pick = rng.integers(0, len(sums), (draws, len(sums)))
-    ratio = sums[pick].sum(1) / counts[pick].sum(1)
-    return tuple(map(float, np.percentile(ratio, [2.5, 97.5])))
+    """Interval of a mean when whole blocks are drawn again: how often each block comes up is
+    multinomial, and a draw's mean is its weighted sum over its weighted count."""
+    blocks = len(sums)
+    times = np.random.default_rng(seed).multinomial(blocks, np.full(blocks, 1 / blocks), draws)
+    low, high = np.quantile((times @ sums) / (times @ counts), (0.025, 0.975))
+    return float(low), float(high)

@@ -188,3 +188,82 @@ def test_lloyd_separates_two_clouds():
     p = np.vstack([rng.normal(0, 1, (20, 2)), rng.normal(50, 1, (20, 2))])
     _, lab = C.lloyd(p, p[[0, 1]])
     assert len(set(lab[:20])) == 1 and len(set(lab[20:])) == 1 and lab[0] != lab[-1]
+
+
+def test_repair_stops_in_band_and_takes_the_nearer_of_equal_gains():
+    p, w = np.array([[0.0, 0], [1, 0], [2, 0], [5, 0]]), np.array([4.0, 3, 3, 4])
+    near = [[1], [0, 2], [1, 3], [2]]
+    balanced = np.array([0, 0, 1, 1])
+    assert A.repair(p, w, balanced, 2, near).tolist() == balanced.tolist()  # 7 and 7: nothing to do
+    p = np.array([[0.0, 0], [0, 3], [0, 1], [9, 0]])
+    w, lab = np.array([5.0, 3, 3, 1]), np.array([0, 0, 0, 1])
+    near = [[1, 2], [0, 3], [0, 3], [1, 2]]
+    fixed = A.repair(p, w, lab, 2, near, moves=1, centers=np.array([[0.0, 0], [0.0, 0.5]]))
+    assert fixed.tolist() == [0, 0, 1, 1]  # both lower the deviation alike, unit 2 is nearer
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_milp_with_heavy_units_against_enumeration(seed):
+    """Bands that bite, so bounds, eliminations and branching all take part."""
+    rng = np.random.default_rng(100 + seed)
+    n, k = 9, 3
+    p, w, c = rng.random((n, 2)) * 1000, rng.integers(1, 12, n).astype(float), rng.random((k, 2)) * 1000
+    home, lam, eps = A.nearest(p, c), 300.0, 0.12
+    cost = (A.distances(p, c) + lam * (np.arange(k) != home[:, None])) * w[:, None]
+    lo, hi = math.ceil(w.sum() / k * (1 - eps) - 1e-9), math.floor(w.sum() / k * (1 + eps) + 1e-9)
+    best = math.inf
+    for lab in everything(n, k):
+        load = np.bincount(lab, weights=w, minlength=k)
+        if load.min() >= lo and load.max() <= hi:
+            best = min(best, cost[np.arange(n), list(lab)].sum())
+    lab, log = A.assign_milp(p, w, c, eps, home, lam)
+    if math.isinf(best):
+        assert log["status"] == "infeasible"
+    else:
+        assert log["status"] == "optimal" and best - 1e-6 <= cost[np.arange(n), lab].sum() <= best * 1.0011
+
+
+def test_knapsack_bounds_never_exceed_the_best_whole_assignment():
+    rng = np.random.default_rng(7)
+    for _ in range(5):
+        n, k = 8, 3
+        w, whole = rng.integers(1, 9, n).astype(float), rng.random((n, k)) * 100
+        lo, hi = math.ceil(w.sum() / k * 0.85), math.floor(w.sum() / k * 1.15)
+        costs = {lab: whole[np.arange(n), list(lab)].sum() for lab in everything(n, k)
+                 if all(lo <= x <= hi for x in np.bincount(lab, weights=w, minlength=k))}
+        if not costs:
+            continue
+        sacks, best = A._Knapsacks(whole, w, lo, hi), min(costs.values())
+        top, price, _, layout, _ = sacks.improve(np.ones((n, k), bool), whole.min(1), best, 40)
+        assert top <= best + 1e-6
+        forced = sacks.forced(price, top, layout)
+        for i in range(n):
+            for d in range(k):
+                own = min((v for lab, v in costs.items() if lab[i] == d), default=math.inf)
+                assert forced[i, d] <= own + 1e-6
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_two_opt_ends_where_no_exchange_helps(seed):
+    rng = np.random.default_rng(seed)
+    p = rng.random((25, 2))
+    d = np.hypot(p[:, None, 0] - p[:, 0], p[:, None, 1] - p[:, 1])
+    start = rng.permutation(25).tolist()
+    tour = K.two_opt(start, d)
+    assert sorted(tour) == list(range(25)) and K.length(d, tour) < K.length(d, start)
+    for i in range(25):
+        for j in range(i + 2, 25):
+            other = tour[:i + 1] + tour[i + 1:j + 1][::-1] + tour[j + 1:]
+            assert K.length(d, other) > K.length(d, tour) - 1e-8
+
+
+def test_bootstrap_interval_against_drawing_blocks():
+    rng = np.random.default_rng(1)
+    sums, counts = rng.normal(3, 2, 30), rng.integers(1, 6, 30).astype(float)
+    lo, hi = S.block_bootstrap(sums, counts, 20_000)
+    means = []
+    for _ in range(20_000):
+        pick = rng.choice(30, 30)
+        means.append(sums[pick].sum() / counts[pick].sum())
+    want = np.quantile(means, (0.025, 0.975))
+    assert abs(lo - want[0]) < 0.05 and abs(hi - want[1]) < 0.05
