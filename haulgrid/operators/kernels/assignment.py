@@ -203,90 +203,86 @@ class _Knapsacks:
     """A stronger bound: each unit's single place is priced, each district then picks the cheapest
     set of units whose load is within bounds, exactly, over whole loads.
 
-    All districts advance together, one candidate unit each a step. ``tail`` tables from the last
-    candidate back give, with the forward ones, the least cost of any single pick, by which pairs
-    are ruled out.
+    All districts advance together, one unit a step. Tables from the last unit back give, with
+    those from the first, the least cost with any single pick, by which pairs are ruled out.
     """
 
     def __init__(self, whole: np.ndarray, w: np.ndarray, lo: float, hi: float):
         self.whole, self.w, self.lo, self.hi = whole, w.astype(int), int(lo), int(hi)
-        self.k = whole.shape[1]
-
-    def _tables(self, unit, weight, gain, must):
-        """Cheapest cost of each load after each candidate, and whether it is taken there."""
-        k, size, rows = self.k, self.hi + 1, np.arange(self.k)[:, None]
-        best = np.full((k, size), np.inf)
-        best[:, 0] = 0.0
-        table, taken, loads = [best], [], np.arange(size)
-        for j in range(len(unit)):
-            back = loads - weight[j][:, None]
-            with_it = np.where(back >= 0, best[rows, np.maximum(back, 0)], np.inf) + gain[j][:, None]
-            take = with_it < best
-            take |= must[j][:, None]
-            best = np.where(take, with_it, best)
-            taken.append(take)
-            table.append(best)
-        return table, taken
-
-    def improve(self, allowed: np.ndarray, price: np.ndarray, upper: float, rounds: int, spread: float = 1.0):
+
+    def _tables(self, weight: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        """Least cost of each load of each district, after none, one, two .. of the units."""
+        f, k = gain.shape
+        table = np.full((f + 1, k, self.hi + 1), np.inf)
+        table[0, :, 0] = 0.0
+        for j, (v, g) in enumerate(zip(weight.tolist(), gain, strict=True)):
+            now = table[j + 1]
+            now[:] = table[j]
+            if v <= self.hi:
+                np.minimum(now[:, v:], table[j][:, :self.hi + 1 - v] + g[:, None], out=now[:, v:])
+        return table
+
+    def improve(self, allowed: np.ndarray, price: np.ndarray, upper: float, rounds: int, spread: float):
         """Best bound found by subgradient steps from ``price``: bound, price, step size to go on
-        with, layout for :meth:`forced`, and which pairs it picks."""
+        with, what :meth:`forced` needs, and which pairs the bound picks."""
         n, k = self.whole.shape
-        counts = allowed.sum(0)
-        m = int(counts.max())
-        unit, valid = np.zeros((m, k), int), np.zeros((m, k), bool)
-        for d in range(k):
-            own = np.flatnonzero(allowed[:, d])
-            unit[:len(own), d], valid[:len(own), d] = own, True
-        cols = np.arange(k)
-        weight = np.where(valid, self.w[unit], 0)
-        must = valid & (allowed.sum(1) == 1)[unit]
-        cost = np.where(valid, self.whole[unit, cols], np.inf)
-        top, at_top, last, pick = -np.inf, price, 0, None
+        free = np.flatnonzero(allowed.sum(1) > 1)
+        only = np.flatnonzero(allowed.sum(1) == 1)
+        place = allowed[only].argmax(1)
+        base = np.bincount(place, weights=self.w[only], minlength=k).astype(int)
+        sunk, weight, cols = float(self.whole[only, place].sum()), self.w[free], np.arange(k)
+        cost = np.where(allowed[free], self.whole[free], np.inf)
+        loads = np.arange(self.hi + 1)
+        outside = (loads < (self.lo - base)[:, None]) | (loads > (self.hi - base)[:, None])
+        top, at_top, last, best = -np.inf, price, 0, None
         for r in range(rounds):
-            gain = cost - np.where(valid, price[unit], 0.0)
-            table, taken = self._tables(unit, weight, gain, must)
-            end = table[-1][:, self.lo:]
+            gain = cost - price[free][:, None]
+            table = self._tables(weight, gain)
+            end = np.where(outside, np.inf, table[-1])
             load = end.argmin(1)
-            value = float(price.sum() + end[cols, load].sum())
+            value = sunk + float(price[free].sum()) + float(end[cols, load].sum())
             if not np.isfinite(value):
                 return np.inf, price, spread, None, None
-            load, places, chosen = load + self.lo, np.zeros(n), np.zeros((n, k), bool)
-            for j in range(m - 1, -1, -1):
-                t = taken[j][cols, load]
-                np.add.at(places, unit[j][t], 1)
-                chosen[unit[j][t], cols[t]] = True
-                load = load - np.where(t, weight[j], 0)
+            taken = np.zeros((len(free), k), bool)
+            for j in range(len(free) - 1, -1, -1):
+                taken[j] = t = table[j + 1][cols, load] < table[j][cols, load]
+                load = load - t * weight[j]
             if value > top + 1e-9:
-                top, at_top, last, pick = value, price, r, chosen
+                top, at_top, last, best = value, price, r, (taken, table, gain, end)
             elif r - last >= 5:
                 spread, last, price = spread / 2, r, at_top
                 continue
-            miss = 1 - places
+            miss = 1 - taken.sum(1)
             if top >= upper or not miss.any() or spread < 1e-3:
                 break
-            price = price + miss * spread * (upper * 1.02 - value) / (miss @ miss)
-        return top, at_top, spread, (unit, valid, weight, must, cost), pick
-
-    def forced(self, price: np.ndarray, value: float, layout: tuple) -> np.ndarray:
-        """Bound with each pair picked, infinite where it can't be."""
-        unit, valid, weight, must, cost = layout
-        gain = cost - np.where(valid, price[unit], 0.0)
-        ahead, _ = self._tables(unit, weight, gain, must)
-        tail, _ = self._tables(unit[::-1], weight[::-1], gain[::-1], must[::-1])
-        k, size, cols = self.k, self.hi + 1, np.arange(self.k)
-        now = ahead[-1][:, self.lo:].min(1)
-        out = np.full(self.whole.shape, np.inf)
-        rows, loads = cols[:, None], np.arange(size)
-        for j in range(len(unit)):
-            # cheapest tail whose load brings a load before it within the bounds
-            low = np.lib.stride_tricks.sliding_window_view(
-                np.pad(tail[len(unit) - j - 1], ((0, 0), (self.hi, self.hi)), constant_values=np.inf), self.hi - self.lo + 1, axis=1).min(2)
-            first = self.lo - weight[j][:, None] - loads + self.hi
-            rest = np.where(first >= 0, low[rows, np.clip(first, 0, low.shape[1] - 1)], np.inf)
-            best = (ahead[j] + rest).min(1) + gain[j]
-            ok = valid[j]
-            out[unit[j][ok], cols[ok]] = value - now[ok] + best[ok]
+            price = price.copy()
+            price[free] += miss * spread * (upper * 1.02 - value) / (miss @ miss)
+        taken, table, gain, end = best
+        pick = np.zeros((n, k), bool)
+        pick[free], pick[only, place] = taken, True
+        return top, at_top, spread, (free, weight, base, table, gain, end.min(1)), pick
+
+    def forced(self, value: float, layout: tuple) -> np.ndarray:
+        """Bound with each pair picked; for units with a single place and for pairs that are ruled
+        out it says nothing (minus infinity)."""
+        free, weight, base, ahead, gain, now = layout
+        out = np.full(self.whole.shape, -np.inf)
+        if not len(free):
+            return out
+        band, f, size = self.hi - self.lo, len(free), self.hi + 1
+        tail = self._tables(weight[::-1], gain[::-1])[:f][::-1]
+        # cheapest tail with a load from x - band to x, by doubling
+        low = np.pad(tail, ((0, 0), (0, 0), (band, band)), constant_values=np.inf)
+        width = 1
+        while width < band + 1:
+            step = min(width, band + 1 - width)
+            low[:, :, :-step] = np.minimum(low[:, :, :-step], low[:, :, step:])
+            width += step
+        start = (self.lo - base)[None, :, None] - weight[:, None, None] - np.arange(size) + band
+        rest = np.take_along_axis(low, np.clip(start, 0, low.shape[2] - 1), 2)
+        rest[(start < 0) | (start >= low.shape[2])] = np.inf
+        best = (ahead[:f] + rest).min(2) + gain
+        out[free] = np.where(np.isfinite(gain), value - now + best, -np.inf)
         return out
 
 
@@ -362,13 +358,26 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
             if (c := float(whole[rows, lab].sum())) < best_cost:
                 best, best_cost = lab, c
 
+    def search(node: _Flow, kicks: int) -> None:
+        """Moves a few undecided units of the best assignment at random, mends loads, polishes."""
+        rng = np.random.default_rng(n)
+        allowed = node.cost < FAR / 2
+        loose = np.flatnonzero(allowed.sum(1) > 1)
+        for _ in range(kicks if best is not None and len(loose) else 0):
+            lab = best.copy()
+            for i in rng.choice(loose, min(len(loose), int(rng.integers(2, 6))), replace=False):
+                lab[i] = rng.choice(np.flatnonzero(allowed[i]))
+            flow = np.zeros((n, k))
+            flow[rows, lab] = w
+            offer(rounded(flow, node.cost))
+
     def enough(value: float) -> bool:
         return best is not None and value >= best_cost - gap * abs(best_cost)
 
     def tighten(value: float, node: _Flow, price: np.ndarray, turns: int) -> tuple[float, np.ndarray]:
         """Raise a node's bound by knapsacks and, by turns, rule out the pairs that alone exceed
         what the best whole assignment leaves."""
-        spread = 1.0 if turns > 3 else 0.3
+        spread = 1.0 if turns > 3 else 0.2
         for _ in range(turns):
             allowed, before = node.cost < FAR / 2, value
             upper = best_cost * (1 - gap) if best is not None else value * 1.05
@@ -379,7 +388,7 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
             value = max(value, top)
             if best is None or enough(value):
                 break
-            over = allowed & (sacks.forced(price, top, layout) >= best_cost * (1 - gap))
+            over = allowed & (sacks.forced(top, layout) >= best_cost * (1 - gap))
             for i in np.flatnonzero(over.any(1)):
                 if not node.ban(int(i), np.flatnonzero(over[i])):
                     return np.inf, price
@@ -388,7 +397,7 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
         return max(value, node.value()), price
 
     todo, born = [], 0
-    sacks = _Knapsacks(whole, w, lo, hi) if n and np.all(w == np.round(w)) and lo <= hi <= 5000 else None
+    sacks = _Knapsacks(whole, w, lo, hi) if n and np.all(w == np.round(w)) and lo <= hi and n * k * hi <= 20_000_000 else None
     if n and w.max() <= hi + 1e-9 and lo <= hi:
         flow, ok = transport(cost, w, lo, hi)
         if ok:
@@ -416,9 +425,12 @@ def assign_milp(points, w, centers, eps, home, lam, time_limit=10.0, gap=1e-3) -
             far = (node.extra_cost() >= best_cost * (1 - gap) - node.value()) & (node.flow <= node.tol)
             node.cost[far] = FAR
         if sacks is not None:
+            if not born:
+                search(node, 20)
             value, price = tighten(value, node, price, 1 if born else 25)
             if enough(value) or not value < FAR / 2:
                 continue
+            search(node, 3 if born else 40)
             share = node.flow / np.maximum(w, 1e-12)[:, None]
             split = np.flatnonzero(share.max(1) < 1 - 1e-6)
             if not len(split):

@@ -234,9 +234,9 @@ def test_knapsack_bounds_never_exceed_the_best_whole_assignment():
         if not costs:
             continue
         sacks, best = A._Knapsacks(whole, w, lo, hi), min(costs.values())
-        top, price, _, layout, _ = sacks.improve(np.ones((n, k), bool), whole.min(1), best, 40)
+        top, _, _, layout, _ = sacks.improve(np.ones((n, k), bool), whole.min(1), best, 40, 1.0)
         assert top <= best + 1e-6
-        forced = sacks.forced(price, top, layout)
+        forced = sacks.forced(top, layout)
         for i in range(n):
             for d in range(k):
                 own = min((v for lab, v in costs.items() if lab[i] == d), default=math.inf)
