@@ -95,15 +95,16 @@ def routes(assign: DataFrame, od: DataFrame, seeds: tuple = (0,), starts: int =
     tours = assign.groupBy("depot", "date", "design", "k").agg(F.sort_array(F.collect_set("bu")).alias("units"), F.sum("n").alias("parcels"))
     tours = tours.withColumn("m", F.month("date")).join(od.select("variant", "depot").distinct(), "depot")
     legs = od.select("variant", "depot", "o", "d", "km", "min").join(tours.select("depot", "m").distinct(), "depot")
+    legs = legs.select(*[F.col(c).alias(f"leg_{c}") for c in legs.columns])  # else both sides share columns
 
     def cost(key: tuple, tours: pd.DataFrame, legs: pd.DataFrame) -> pd.DataFrame:
-        names = np.unique(np.append(legs["o"].to_numpy(str), home))
+        names = np.unique(np.append(legs["leg_o"].to_numpy(str), home))
         km, minutes = np.full((2, len(names), len(names)), 1e9)
         np.fill_diagonal(km, 0.0)
         np.fill_diagonal(minutes, 0.0)
         if len(legs):
-            i, j = (np.searchsorted(names, legs[c].to_numpy(str)) for c in "od")
-            km[i, j], minutes[i, j] = legs["km"].fillna(1e9), legs["min"].fillna(1e9)
+            i, j = (np.searchsorted(names, legs[f"leg_{c}"].to_numpy(str)) for c in "od")
+            km[i, j], minutes[i, j] = legs["leg_km"].fillna(1e9), legs["leg_min"].fillna(1e9)
         out = []
         for t in tours.itertuples():
             stops = [home, *(u for u in t.units if u != home)]
@@ -114,9 +115,9 @@ def routes(assign: DataFrame, od: DataFrame, seeds: tuple = (0,), starts: int =
                 out.append((*key[:2], t.date, t.design, t.k, seed, len(stops) - 1, a, b, t.parcels))
         return pd.DataFrame(out, columns=[*keys, "seed", "stops", "route_km", "route_min", "parcels"])
 
-    kinds = dict(tours.dtypes)
+    kinds, side = dict(tours.dtypes), [f"leg_{c}" for c in group]
     schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + f", seed int, stops int, route_km double, route_min double, parcels {kinds['parcels']}"
-    return deal(tours, *group).groupBy(*group).cogroup(deal(legs, *group).groupBy(*group)).applyInPandas(cost, schema)
+    return deal(tours, *group).groupBy(*group).cogroup(deal(legs, *side).groupBy(*side)).applyInPandas(cost, schema)
 
 
 def intra_distance(d: DataFrame, circ: DataFrame, keys: tuple = ("depot", "date", "bu")) -> DataFrame:

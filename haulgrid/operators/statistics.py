@@ -17,8 +17,16 @@ def _n() -> Column:
     return F.count(F.lit(1))
 
 
+#: Most values of a scope (days): their pairs are ordered by one task.
+MAX_DAYS = 5_000
+
+
 def hodges_lehmann(x: DataFrame, z: float = Z95) -> DataFrame:
-    """Median of Walsh averages and the order-statistic interval around it."""
+    """Median of Walsh averages and the order-statistic interval around it. A scope of more than
+    MAX_DAYS days is refused."""
+    sizes = x.groupBy("scope").agg(_n().alias("n"))
+    refused = F.raise_error(F.lit(f"a scope has more than {MAX_DAYS} days"))
+    x = x.join(sizes.select("scope", F.when(F.col("n") > MAX_DAYS, refused.cast("int")).alias("_n")), "scope").filter(F.col("_n").isNull()).drop("_n")
     day = Window.partitionBy("scope").orderBy("x", "id")
     rows = x.withColumn("i", F.row_number().over(day))
     a, b = rows.alias("a"), rows.alias("b")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from haulgrid.functions import geo, roads
 from haulgrid.operators import districts, feasibility as feas, stability
 from haulgrid.plans.registry import query
 from haulgrid.sources import fixtures as fx
-from haulgrid.sources import readers
+from haulgrid.sources import readers, sinks
 from haulgrid.sources.fixtures import K, hex_sql, with_views
+from haulgrid.sources.stage import shared_folder
 
 #: The stand-in data are sparser than real depots: fewer parcels a day, so a lower target.
 TARGET = 10.0
@@ -22,18 +25,36 @@ def _weekdays(spark, sf_dir):
     return fx.deliv(spark, sf_dir).filter("dow < 5")
 
 
-@query(with_views("scans") + "SELECT barcode, t, CAST(month(t) AS INTEGER) AS m, depot AS facility, CAST(cid AS VARCHAR) AS user_id, lon, lat FROM scans")
-def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Typed scan of delivery events that arrive as text."""
-    raw = fx.scans(spark, sf_dir).select(
+_SCANS = with_views("scans") + "SELECT barcode, t, CAST(month(t) AS INTEGER) AS m, depot AS facility, CAST(cid AS VARCHAR) AS user_id, lon, lat FROM scans"
+
+
+def _raw_scans(spark, sf_dir):
+    return fx.scans(spark, sf_dir).select(
         F.col("barcode").alias("ShipmentItemBarcode"), F.col("t").cast("string").alias("EventDatetime"),
         F.col("depot").alias("FacilityCode"), F.col("cid").cast("string").alias("UserID"),
         F.col("lon").cast("string").alias("EventGeoX"), F.col("lat").cast("string").alias("EventGeoY"))
-    return readers.typed_events(raw).select(
+
+
+def _short_names(events):
+    return events.select(
         F.col("ShipmentItemBarcode").alias("barcode"), "t", "m", F.col("FacilityCode").alias("facility"),
         F.col("UserID").alias("user_id"), F.col("EventGeoX").alias("lon"), F.col("EventGeoY").alias("lat"))
 
 
+@query(_SCANS)
+def scan_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed scan of delivery events that arrive as text."""
+    return _short_names(readers.typed_events(_raw_scans(spark, sf_dir)))
+
+
+@query(_SCANS)
+def scan_events_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through gzipped CSV files, written and read."""
+    folder = f"{shared_folder(spark)}/scans-{uuid.uuid4().hex}"
+    sinks.write_csv(_raw_scans(spark, sf_dir), folder, gzip=True)
+    return _short_names(readers.read_events(spark, folder))
+
+
 @query(with_views("lines") + """SELECT 'Depot0' || (l_suppkey % 10 // 2) AS depot, count(*) AS n FROM lines
         WHERE l_suppkey % 10 // 2 BETWEEN 1 AND 4 GROUP BY ALL""")
 def facility_map(spark: SparkSession, sf_dir: str) -> DataFrame:
