@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haulgrid.llm.bpe import bpe_round_trip
-from haulgrid.llm.common import materialize, table
+from haulgrid.llm.common import drop_path, materialize, table
 from haulgrid.llm.line_dedup import duplicate_lines, without_lines
 from haulgrid.llm.mixing import mix_sources, mixed_rows
 from haulgrid.llm.quality_rules import fit_quality_model, keep_good
@@ -60,7 +60,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = materialize(stage(spark, docs, sf_dir), name)
+        docs, path = materialize(stage(spark, docs, sf_dir), name)
+        if before:  # the stage that read it is written
+            drop_path(spark, before)
+        before = path
     return docs

@@ -22,10 +22,12 @@ from haulgrid.llm.wavelet import wavelet_output
 
 
 def op1_wavelet_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as wavelet shards and read back; null text: the end id alone, empty table: no rows."""
     return wavelet_output(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document; null text: size 0, null source: a source of its own, last."""
     mix = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), cap=3, seed=1)
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,19 +43,23 @@ def op3_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group, kept row and digest of every document; null text counts as empty, repeated rows keep a row each."""
     return exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document that an earlier like line makes redundant; null text: one empty line."""
     drops = duplicate_lines(table(spark, sf_dir, "documents"), threshold=1, min_chars=20, least_words=8, fold_short=True)
     return drops.select("doc_id", "n_lines", "n_dropped", F.array_join("dropped", ",").alias("dropped"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; no words: fingerprint zero, null ids last as smallest id."""
     return simhash_components(table(spark, sf_dir, "documents"), radius=2, words_in_shingle=3, seed=42).drop("fp")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and of the decoded bytes of every document; null text: no ids."""
     out = bpe_round_trip(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select(
@@ -61,6 +67,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null text: no words, so rejected; no usable labels: the base rules alone."""
     docs = table(spark, sf_dir, "documents")
     return quality_rules(docs, fit_quality_model(docs, table(spark, sf_dir, "labels"), "quality", max_rows=4000))
 
@@ -73,6 +80,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page; null or empty html: an empty text."""
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
