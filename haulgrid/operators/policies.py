@@ -33,9 +33,10 @@ ASSIGN = "depot string, train int, date date, design string, bu string, k int, n
 SCENARIO = r"^factor=([0-9.]+),seed=([0-9]+),engine=([a-z]+)[|](.*)$"
 
 
-def scenarios(d: DataFrame, factors, seeds, engines) -> DataFrame:
-    """Parcels once for each setting, so that one plan runs all settings side by side; see SCENARIO."""
-    names = [f"factor={f},seed={s},engine={e}|" for f in factors for s in seeds for e in engines]
+def scenarios(d: DataFrame, settings) -> DataFrame:
+    """Parcels once for each setting (factor, seed, engine), so that one plan runs all settings
+    side by side; see SCENARIO."""
+    names = [f"factor={f},seed={s},engine={e}|" for f, s, e in settings]
     each = d.withColumn("setting", F.explode(F.array(*[F.lit(n) for n in names])))
     return each.withColumn("depot", F.concat("setting", "depot")).drop("setting")
 

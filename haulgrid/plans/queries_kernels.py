@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -201,14 +202,17 @@ def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def sensitivity_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All policies (penalty 1000) on every test day, and the balance of the plans they start
-    from, for other cells, targets, seeds and engines."""
+    from, for other cells, targets, seeds and engines, each varied by itself."""
     return _sensitivity(spark, sf_dir)
 
 
-def _sensitivity(spark, sf_dir, sides=(1000.0, 1500.0), factors=(1.0, 1.5), seeds=(42, 1, 2, 3), engines=("mcf", "greedy", "wvor")) -> DataFrame:
-    out = None
+def _sensitivity(spark, sf_dir, sides=(1000.0, 1500.0), factors=(1.0, 1.5), seeds=(42, 1, 2, 3), engines=("mcf", "greedy", "wvor"), full=False) -> DataFrame:
+    """``full``: all combinations instead of one change at a time from the first of each."""
+    every = list(product(factors, seeds, engines))
+    base, out = every[0], None
     for side in sides:
-        d = cut(policies.scenarios(fx.deliv(spark, sf_dir, side).select("depot", "date", "m", "dow", "cid", "x", "y", "q", "r", "bu"), factors, seeds, engines))
+        settings = every if full else [x for x in every if sum(a != b for a, b in zip(x, base, strict=True)) <= (side == sides[0])]
+        d = cut(policies.scenarios(fx.deliv(spark, sf_dir, side).select("depot", "date", "m", "dow", "cid", "x", "y", "q", "r", "bu"), settings))
         plans = cut(policies.fix_plans(policies.units_for_plan(d, side, TARGET)))
         load = plans.filter("trained").groupBy("depot", "train", "k").agg(F.sum("w").alias("load"))
         days = policies.day_loads(d).select("depot", "train", "date").distinct()
