@@ -267,3 +267,33 @@ def test_bootstrap_interval_against_drawing_blocks():
         means.append(sums[pick].sum() / counts[pick].sum())
     want = np.quantile(means, (0.025, 0.975))
     assert abs(lo - want[0]) < 0.05 and abs(hi - want[1]) < 0.05
+
+
+@pytest.mark.parametrize(("n", "k", "same"), [(40, 150, False), (72, 600, True), (60, 12, True)])
+def test_transport_with_many_districts_is_optimal_and_quick(n, k, same):
+    import time
+
+    rng = np.random.default_rng(k)
+    p, w = rng.random((n, 2)) * 12_000, rng.integers(200, 400, n).astype(float)
+    c = p[rng.integers(0, n, k)] if same else rng.random((k, 2)) * 12_000
+    cost, mean, began = A.distances(p, c), w.sum() / k, time.perf_counter()
+    flow, ok = A.transport(cost, w, mean * 0.95, mean * 1.05)
+    assert time.perf_counter() - began < 5
+    load = flow.sum(0)
+    assert ok and np.allclose(flow.sum(1), w) and (flow >= 0).all()
+    assert load.min() >= mean * 0.95 - 1e-6 and load.max() <= mean * 1.05 + 1e-6
+    dist, _, _ = A._paths(flow, cost)
+    assert np.diag(dist).min() > -1e-5
+    assert dist[np.ix_(load > mean * 0.95 + 1e-6, load < mean * 1.05 - 1e-6)].min() > -1e-5
+
+
+@pytest.mark.parametrize("shape", [(60, 60), (40, 60), (60, 40)])
+def test_matching_of_centres_at_few_places_costs_what_hungarian_says(shape):
+    rng = np.random.default_rng(1)
+    places = rng.random((9, 2))
+    cost = A.distances(places[rng.integers(0, 9, shape[0])], places[rng.integers(0, 9, shape[1])])
+    one, two = A.matching(cost), A.hungarian(cost)
+    for got in (one, two):
+        used = got[got >= 0]
+        assert len(set(used.tolist())) == len(used) == min(shape)
+    assert abs(sum(cost[i, j] for i, j in enumerate(one) if j >= 0) - sum(cost[i, j] for i, j in enumerate(two) if j >= 0)) < 1e-9
