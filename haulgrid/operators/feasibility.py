@@ -13,7 +13,11 @@ PERCENT = ("feasible_monthly", "under_load", "over_load", "feasible_observed", "
 
 def rosters(d: DataFrame, target: float = 70.0) -> DataFrame:
     """Districts of each depot and month: mean weekday volume over the target."""
-    days = depot_day(d.filter("dow < 5"))
+    return rosters_of(depot_day(d.filter("dow < 5")), target)
+
+
+def rosters_of(days: DataFrame, target) -> DataFrame:
+    """The same of weekdays' volumes (depot, date, m, V)."""
     return days.groupBy("depot", "m").agg(F.avg("V").alias("mean_v")).withColumn("K", geo.roster("mean_v", target))
 
 

@@ -32,14 +32,26 @@ def _d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.deliv(spark, sf_dir, SIDE)
 
 
-def _plans(spark, sf_dir, engine="mcf", seed=42, annual=False):
-    d = _d(spark, sf_dir)
+def _days(spark, sf_dir):
+    """Parcels of each unit and weekday, counted in one pass over the scans."""
+    return cut(policies.counted(_d(spark, sf_dir)))
+
+
+def _plans(spark, sf_dir, engine="mcf", seed=42, annual=False, days=None):
+    """Parcels of units by day, and the plans learnt from them."""
+    d = _days(spark, sf_dir) if days is None else days
     return d, policies.fix_plans(policies.units_for_plan(d, SIDE, TARGET, annual), engine, seed=seed)
 
 
+def _kept_plans(spark, sf_dir):
+    """The same for several readers of the plans."""
+    d, plans = _plans(spark, sf_dir)
+    return d, cut(plans)
+
+
 @query()
 def policy_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plans(spark, sf_dir)[1].drop("sec")
+    return _plans(spark, sf_dir)[1].drop("sec", "centers")
 
 
 @query()
@@ -50,18 +62,17 @@ def fix_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cap_generic_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plans(spark, sf_dir, "greedy")[1].drop("sec")
+    return _plans(spark, sf_dir, "greedy")[1].drop("sec", "centers")
 
 
 @query()
 def cap_generic_wvor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plans(spark, sf_dir, "wvor")[1].drop("sec")
+    return _plans(spark, sf_dir, "wvor")[1].drop("sec", "centers")
 
 
 def _kernel_on_demand(spark, sf_dir, name, kernel) -> DataFrame:
     """Labels that a kernel gives the units of each depot and month around seeded centres."""
-    d = _d(spark, sf_dir)
-    units = policies.units_for_plan(d, SIDE, TARGET).filter("w > 0")
+    units = policies.units_for_plan(_days(spark, sf_dir), SIDE, TARGET).filter("w > 0")
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bu")
@@ -107,7 +118,7 @@ def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hungarian_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Districts of a month matched to those of the month before by their centres."""
-    plans = policies.plan_centers(_plans(spark, sf_dir)[1])
+    plans = policies.plan_centers(_kept_plans(spark, sf_dir)[1])
     now = plans.groupBy("depot", "train").agg(F.sort_array(F.collect_list(F.struct("k", "cx", "cy"))).alias("now"))
     old = now.select("depot", (F.col("train") + 1).alias("train"), F.col("now").alias("old"))
 
@@ -115,7 +126,7 @@ def hungarian_align(spark: SparkSession, sf_dir: str) -> DataFrame:
         for f in frames:
             for r in f.itertuples():
                 a, b = (np.array([[c["cx"], c["cy"]] for c in x]) for x in (r.now, r.old))
-                to = A.hungarian(A.distances(a, b))
+                to = A.matching(A.distances(a, b))
                 yield pd.DataFrame({"depot": r.depot, "train": r.train, "k": [c["k"] for c in r.now], "k_before": to})
 
     return now.join(old, ["depot", "train"]).mapInPandas(match, "depot string, train int, k int, k_before int")
@@ -124,14 +135,14 @@ def hungarian_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def policy_pen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Minimal-change rebalancing and its solver log."""
-    d, plans = _plans(spark, sf_dir)
+    d, plans = _kept_plans(spark, sf_dir)
     return policies.rebalanced(plans, policies.day_loads(d)).drop("sec")
 
 
 @query()
 def solver_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rebalancing's calls, a row each."""
-    d, plans = _plans(spark, sf_dir)
+    d, plans = _kept_plans(spark, sf_dir)
     return policies.solver_log(policies.rebalanced(plans, policies.day_loads(d))).drop("sec")
 
 
@@ -144,9 +155,9 @@ def assignment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rounded="inband moved_share")
 def plan_age_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fixed plan and rebalancing by test month, with plans of the month before and of January."""
-    d, out = _d(spark, sf_dir), None
+    d, out = _days(spark, sf_dir), None
     for annual in (False, True):
-        plans = cut(_plans(spark, sf_dir, annual=annual)[1])
+        plans = cut(_plans(spark, sf_dir, annual=annual, days=d)[1])
         loads = policies.day_loads(d)
         a = policies.fixed(plans, loads).unionByName(
             policies.rebalanced(plans, loads, (1000.0,)).select("depot", "train", "date", "design", "bu", "k", "n"))
@@ -158,31 +169,31 @@ def plan_age_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def policy_dws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, plans = _plans(spark, sf_dir)
-    return policies.daily(plans, policies.day_loads(d)).filter("design = 'DWS'").drop("sec")
+    d, plans = _kept_plans(spark, sf_dir)
+    return policies.daily(plans, policies.day_loads(d), designs=("DWS",)).drop("sec")
 
 
 @query()
 def policy_dcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, plans = _plans(spark, sf_dir)
-    return policies.daily(plans, policies.day_loads(d)).filter("design = 'DCS'").drop("sec")
+    d, plans = _kept_plans(spark, sf_dir)
+    return policies.daily(plans, policies.day_loads(d), designs=("DCS",)).drop("sec")
 
 
 @query()
 def policy_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of each solver call, with its size; of the rebalancing also status, fallback and
     the certificate that a unit above the upper bound makes the day infeasible."""
-    d, plans = _plans(spark, sf_dir)
+    d, plans = _kept_plans(spark, sf_dir)
     loads = policies.day_loads(d)
     fix = plans.groupBy("depot", "train").agg(F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"), F.max("n_districts").alias("n_districts")).select(
         "depot", "train", F.lit(None).cast("date").alias("date"), F.lit("FIX").alias("step"), "sec", "n", "n_districts")
     day = policies.daily(plans, loads).groupBy("depot", "train", "date", F.col("design").alias("step")).agg(
-        F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"), (F.max("k") + 1).alias("n_districts"))
+        F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"))
     sizes = plans.groupBy("depot", "train").agg(F.max("n_districts").alias("n_districts"))
     pen = policies.rebalanced(plans, loads).groupBy("depot", "train", "date", F.col("design").alias("step")).agg(
         F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"), F.max("status").alias("status"), F.max("fallback").alias("fallback"),
         F.max("max_bu_over_hi").alias("max_bu_over_hi"), (F.max("max_bu_over_hi") > 1).alias("cert")).join(sizes, ["depot", "train"])
-    return fix.unionByName(day).unionByName(pen, allowMissingColumns=True).withColumn("nvar", F.col("n") * F.col("n_districts"))
+    return fix.unionByName(day.join(sizes, ["depot", "train"])).unionByName(pen, allowMissingColumns=True).withColumn("nvar", F.col("n") * F.col("n_districts"))
 
 
 def _measured(d: DataFrame, side: float, target: float, **how) -> DataFrame:

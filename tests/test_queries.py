@@ -209,3 +209,27 @@ def test_routes_against_the_kernel_and_graph_limits(spark, monkeypatch):
     monkeypatch.undo()
     with pytest.raises(ValueError, match="not in the graph"):
         routing.collect_graph(nodes, edges.selectExpr("u", "v + 7 AS v", "length_m", "tt_s"))
+
+
+def test_districts_without_a_unit_stay_in_plans_and_policies(spark):
+    """More districts than units: the mean load and the numbers of districts are those of the plan."""
+    day = __import__("datetime").date(2025, 2, 3)
+    units = spark.createDataFrame([("D", 1, 5, f"{i}_0", 1000.0 * i, 0.0, 10.0) for i in range(3)],
+                                  "depot string, train int, n_districts int, bu string, x double, y double, w double")
+    plans = policies.fix_plans(units).cache()
+    assert sorted(r.k for r in policies.plan_centers(plans).collect()) == list(range(5))
+    loads = spark.createDataFrame([("D", 1, day, f"{i}_0", 10) for i in range(3)], "depot string, train int, date date, bu string, n int")
+    pen = policies.rebalanced(plans, loads, (250.0,)).collect()
+    assert all(abs(r.max_bu_over_hi - 10 / (30 / 5 * 8 / 7)) < 1e-9 and r.status == "infeasible" for r in pen)
+    own = {r.bu: r.k for r in plans.collect()}
+    warm = policies.daily(plans, loads, designs=("DWS",)).collect()
+    assert {r.bu: r.k for r in warm} == own  # same demand, so each unit stays in the plan's own district
+    assert policies.daily(plans, loads).filter("design = 'DWS'").select("bu", "k").exceptAll(policies.daily(plans, loads, designs=("DWS",)).select("bu", "k")).isEmpty()
+
+
+def test_counted_parcels_give_the_same_units_and_loads(spark):
+    d = fx.deliv(spark, SF, 2000.0)
+    few = policies.counted(d).cache()
+    for make in (lambda x: policies.units_for_plan(x, 2000.0, 3.0), policies.day_loads):
+        one, two = make(d), make(few)
+        assert one.dtypes == two.dtypes and one.count() == two.count() and one.exceptAll(two).isEmpty()
