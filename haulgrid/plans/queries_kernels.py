@@ -205,8 +205,8 @@ def _measured(d: DataFrame, side: float, target: float, **how) -> DataFrame:
 def rolling_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All policies over the evaluation window, measured, with plans learnt anew each month and
     with those of the first month only."""
-    d = _d(spark, sf_dir)
-    month, year = (_measured(d, SIDE, TARGET, annual=annual).withColumn("annual", F.lit(annual)) for annual in (False, True))
+    d, days = _d(spark, sf_dir), _days(spark, sf_dir)
+    month, year = (_measured(d, SIDE, TARGET, annual=annual, days=days).withColumn("annual", F.lit(annual)) for annual in (False, True))
     return month.unionByName(year)
 
 
@@ -223,12 +223,13 @@ def _sensitivity(spark, sf_dir, sides=(1000.0, 1500.0), factors=(1.0, 1.5), seed
     base, out = every[0], None
     for side in sides:
         settings = every if full else [x for x in every if sum(a != b for a, b in zip(x, base, strict=True)) <= (side == sides[0])]
-        d = cut(policies.scenarios(fx.deliv(spark, sf_dir, side).select("depot", "date", "m", "dow", "cid", "x", "y", "q", "r", "bu"), settings))
-        plans = cut(policies.fix_plans(policies.units_for_plan(d, side, TARGET)))
+        d = fx.deliv(spark, sf_dir, side)
+        every_day = cut(policies.scenarios(cut(policies.counted(d)), settings))
+        plans = cut(policies.fix_plans(policies.units_for_plan(every_day, side, TARGET)))
         load = plans.filter("trained").groupBy("depot", "train", "k").agg(F.sum("w").alias("load"))
-        days = policies.day_loads(d).select("depot", "train", "date").distinct()
+        days = policies.day_loads(every_day).select("depot", "train", "date").distinct()
         balance = days.join(districts.plan_balance(load, ("depot", "train")), ["depot", "train"])
-        part = _measured(d, side, TARGET, lambdas=(1000.0,), plans=plans).join(balance, ["depot", "date"])
+        part = _measured(d, side, TARGET, lambdas=(1000.0,), plans=plans, days=every_day, settings=settings).join(balance, ["depot", "date"])
         part = part.select(F.lit(side).alias("side"), *policies.scenario_columns(), *[c for c in part.columns if c != "depot"])
         out = part if out is None else out.unionByName(part)
     return out

@@ -233,3 +233,18 @@ def test_counted_parcels_give_the_same_units_and_loads(spark):
     for make in (lambda x: policies.units_for_plan(x, 2000.0, 3.0), policies.day_loads):
         one, two = make(d), make(few)
         assert one.dtypes == two.dtypes and one.count() == two.count() and one.exceptAll(two).isEmpty()
+
+
+def test_spread_and_tours_are_those_of_each_design_by_itself(spark):
+    from haulgrid.operators import districts
+
+    d = fx.deliv(spark, SF, 2000.0)
+    settings = [(1.0, 42, "mcf"), (2.0, 1, "greedy")]
+    a = policies.rolling(d, 2000.0, 3.0, lambdas=(250.0,), settings=settings).cache()
+    day = policies.scenarios(d.filter("dow < 5 AND m > 1").select("depot", "date", "bu", "x", "y", F.col("cid").cast("int").alias("cid")), settings)
+    p = day.join(a.filter("design <> 'OPR'").select("depot", "date", "design", "bu", "k"), ["depot", "date", "bu"]).select("depot", "date", "design", "k", "x", "y")
+    p = p.unionByName(day.select("depot", "date", F.lit("OPR").alias("design"), F.col("cid").alias("k"), "x", "y"))
+    tours = policies.tour_estimates(p).groupBy("depot", "date", "design").agg(F.sum("bhh_km").alias("tour_km"))
+    want = {(r.depot, r.date, r.design): (r.comp_m, r.tour_km) for r in districts.compactness(p).join(tours, ["depot", "date", "design"]).collect()}
+    got = {(r.depot, r.date, r.design): (r.comp_m, r.tour_km) for r in policies.spread_and_tours(d, a).collect()}
+    assert set(got) == set(want) and all(abs(x - y) < 1e-6 for key in want for x, y in zip(got[key], want[key], strict=True))
