@@ -297,3 +297,47 @@ def test_matching_of_centres_at_few_places_costs_what_hungarian_says(shape):
         used = got[got >= 0]
         assert len(set(used.tolist())) == len(used) == min(shape)
     assert abs(sum(cost[i, j] for i, j in enumerate(one) if j >= 0) - sum(cost[i, j] for i, j in enumerate(two) if j >= 0)) < 1e-9
+
+
+def test_seeds_are_those_of_single_draws():
+    class Doubles:  # only draws of doubles, counted
+        def __init__(self):
+            self.own, self.calls = np.random.default_rng(5), 0
+
+        def random(self, size=None):
+            self.calls += 1
+            return self.own.random(size)
+
+    p, w = np.random.default_rng(1).integers(0, 4, (12, 2)).astype(float), np.arange(12.0)
+    rng, plain = Doubles(), np.random.default_rng(5)
+    chosen, near = [int(plain.choice(12, p=w / w.sum()))], np.full(12, np.inf)
+    for _ in range(39):
+        near = np.minimum(near, ((p - p[chosen[-1]]) ** 2).sum(1))
+        mass = near * w
+        chosen.append(int(plain.choice(12, p=mass / mass.sum() if mass.sum() > 0 else w / w.sum())))
+    assert (C.kpp(p, w, 40, rng) == p[chosen]).all() and rng.calls <= 13
+
+
+def test_an_assignment_that_moves_no_centre_is_not_made_again(monkeypatch):
+    calls = []
+    monkeypatch.setitem(C.ENGINES, "mcf", lambda p, w, c, eps: calls.append(c) or A.assign_lp(p, w, c, eps)[0])
+    p = np.array([[0.0, 0.0], [9.0, 0.0]])
+    lab, centers = C.cap_kmeans(p, np.ones(2), 2, start=p)
+    assert lab.tolist() == [0, 1] and (centers == p).all() and len(calls) == 1
+
+
+def test_places_are_matched_like_their_distances():
+    rng = np.random.default_rng(2)
+    for n, m, places in ((40, 40, 5), (12, 20, 9), (30, 17, 4), (6, 6, 100)):
+        a, b = (rng.integers(0, places, (size, 1)) * np.array([3.0, 1.0]) for size in (n, m))
+        cost, to = A.distances(a, b), A.match_places(a, b)
+        plain = A.hungarian(cost)
+        assert sorted(to[to >= 0].tolist()) == sorted(set(to[to >= 0].tolist())) and (to >= 0).sum() == min(n, m)
+        total = [cost[np.flatnonzero(t >= 0), t[t >= 0]].sum() for t in (to, plain)]
+        assert abs(total[0] - total[1]) < 1e-9 * max(1.0, total[1])
+
+
+def test_bounds_that_bans_rule_out_are_told_at_once():
+    cost = np.array([[1.0, A.FAR], [2.0, A.FAR]])
+    tree = A._Tree(cost, np.ones(2), np.ones(2), np.full(2, 2.0))
+    assert not tree.solve(50) and np.isfinite(tree.price).all() and np.isfinite(tree.flow).all()
