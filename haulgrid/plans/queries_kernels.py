@@ -126,7 +126,7 @@ def hungarian_align(spark: SparkSession, sf_dir: str) -> DataFrame:
         for f in frames:
             for r in f.itertuples():
                 a, b = (np.array([[c["cx"], c["cy"]] for c in x]) for x in (r.now, r.old))
-                to = A.matching(A.distances(a, b))
+                to = A.match_places(a, b)
                 yield pd.DataFrame({"depot": r.depot, "train": r.train, "k": [c["k"] for c in r.now], "k_before": to})
 
     return now.join(old, ["depot", "train"]).mapInPandas(match, "depot string, train int, k int, k_before int")

@@ -248,3 +248,15 @@ def test_spread_and_tours_are_those_of_each_design_by_itself(spark):
     want = {(r.depot, r.date, r.design): (r.comp_m, r.tour_km) for r in districts.compactness(p).join(tours, ["depot", "date", "design"]).collect()}
     got = {(r.depot, r.date, r.design): (r.comp_m, r.tour_km) for r in policies.spread_and_tours(d, a).collect()}
     assert set(got) == set(want) and all(abs(x - y) < 1e-6 for key in want for x, y in zip(got[key], want[key], strict=True))
+
+
+def test_parcels_are_counted_by_cell_and_day_alone(spark):
+    d = fx.deliv(spark, SF, 2000.0)
+    few, want = policies.counted(d.drop("bu", "m")), d.filter("dow < 5").groupBy("depot", "date", "m", "dow", "bu").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    assert few.dtypes == want.dtypes and few.exceptAll(want).isEmpty() and want.exceptAll(few).isEmpty()
+    by_courier = policies.counted(d, "cid")
+    assert policies.counted(by_courier).exceptAll(want).isEmpty() and want.exceptAll(policies.counted(by_courier)).isEmpty()
+    own = d.filter("dow < 5 AND m > 1").groupBy("depot", (F.col("m") - 1).alias("train"), "date", F.lit("OPR").alias("design"), "bu", F.col("cid").cast("int").alias("k")).agg(
+        F.count(F.lit(1)).cast("int").alias("n"))
+    for got in (policies.couriers(d), policies.couriers(by_courier)):
+        assert got.dtypes == own.dtypes and got.exceptAll(own).isEmpty() and own.exceptAll(got).isEmpty()
