@@ -341,3 +341,52 @@ def test_bounds_that_bans_rule_out_are_told_at_once():
     cost = np.array([[1.0, A.FAR], [2.0, A.FAR]])
     tree = A._Tree(cost, np.ones(2), np.ones(2), np.full(2, 2.0))
     assert not tree.solve(50) and np.isfinite(tree.price).all() and np.isfinite(tree.flow).all()
+
+
+def test_a_district_of_one_unit_has_its_place_to_the_last_bit():
+    p = np.array([[0.1, 0.7], [2.0, 4.0], [4.0, 4.0]])
+    out = C.recenter(p, np.array([3.0, 1.0, 1.0]), np.array([1, 0, 0]), np.zeros((3, 2)))
+    assert (out == [[3.0, 4.0], [0.1, 0.7], [0.0, 0.0]]).all()
+
+
+def test_a_remembered_tree_gives_the_optimum_in_fewer_pivots(monkeypatch):
+    pivots, real = [], A._Tree._pivot
+    monkeypatch.setattr(A._Tree, "_pivot", lambda self, *a: pivots.append(1) or real(self, *a))
+    rng = np.random.default_rng(3)
+    p, memory, warm, cold = rng.random((30, 2)) * 9000, A.Memory(), 0, 0
+    centers = p[rng.integers(0, 30, 200)]
+    home = rng.integers(0, 200, 30)
+    own = A.Memory()
+    for turn in range(8):
+        w = rng.integers(50, 90, 30).astype(float)
+        centers = centers.copy()
+        centers[rng.integers(0, 200, 2)] = p[rng.integers(0, 30, 2)] + turn % 3
+        pivots.clear()
+        lab, cost = A.assign_lp(p, w, centers, memory=memory)
+        warm, got = warm + len(pivots), len(pivots)
+        pivots.clear()
+        flow, ok = A.transport(A.distances(p, centers), w, w.sum() / 200 * 0.95, w.sum() / 200 * 1.05)
+        cold += len(pivots)
+        assert ok and got > 0 and abs(cost - (flow * A.distances(p, centers)).sum()) < 1e-6 * cost
+        assert (flow[np.arange(30), lab] >= flow.max(1) - 1e-6).all()
+        moved = A.distances(p, centers) + 700.0 * (np.arange(200) != home[:, None])
+        flow, ok = A.transport(moved, w, w.sum() / 200 * 0.95, w.sum() / 200 * 1.05)
+        assert abs(A.assign_lp(p, w, centers, home=home, lam=700.0, memory=own)[1] - (flow * moved).sum()) < 1e-6 * cost
+    assert warm < cold
+
+
+def test_points_at_one_place_are_matched_without_a_solver(monkeypatch):
+    monkeypatch.setattr(A, "_matching", lambda *a: pytest.fail("solved"))
+    b = np.array([[1.0, 0.0], [0.0, 0.0], [1.0, 0.0], [7.0, 7.0]])
+    assert A.match_places(b[[2, 1, 0]], b).tolist() == [0, 1, 2]
+
+
+def test_a_day_that_is_infeasible_at_sight_remembers_its_relaxation():
+    p, w, home, memory = np.arange(8.0).reshape(4, 2) * 100, np.array([90.0, 60.0, 70.0, 80.0]), np.array([0, 3, 6, 9]), A.Memory()
+    centers = np.repeat(p, 5, axis=0)
+    lab, log = A.assign_milp(p, w, centers, 1 / 7, home, 250.0, memory=memory)
+    tree = memory.tree
+    again = A.assign_milp(p, w[::-1], centers, 1 / 7, home, 250.0, memory=memory)[0]
+    assert log["status"] == "infeasible" and log["fallback"] and memory.tree is tree is not None
+    alone = A.assign_milp(p, w[::-1], centers, 1 / 7, home, 250.0)[0]
+    assert (again == alone).all() and len(lab) == 4
