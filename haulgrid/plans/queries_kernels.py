@@ -34,7 +34,7 @@ def _d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _days(spark, sf_dir):
     """Parcels of each unit and weekday, counted in one pass over the scans."""
-    return cut(policies.counted(_d(spark, sf_dir)))
+    return cut(fx.parcels(spark, sf_dir, SIDE))
 
 
 def _plans(spark, sf_dir, engine="mcf", seed=42, annual=False, days=None):
@@ -149,7 +149,7 @@ def solver_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def assignment_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """District (or courier) of every unit and test day under every policy."""
-    return policies.rolling(_d(spark, sf_dir), SIDE, TARGET)
+    return policies.rolling(fx.parcels(spark, sf_dir, SIDE, "cid"), SIDE, TARGET)
 
 
 @query(rounded="inband moved_share")

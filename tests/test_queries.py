@@ -260,3 +260,9 @@ def test_parcels_are_counted_by_cell_and_day_alone(spark):
         F.count(F.lit(1)).cast("int").alias("n"))
     for got in (policies.couriers(d), policies.couriers(by_courier)):
         assert got.dtypes == own.dtypes and got.exceptAll(own).isEmpty() and own.exceptAll(got).isEmpty()
+
+
+def test_parcels_of_line_items_are_those_counted(spark):
+    for more in ((), ("cid",)):
+        got, want = fx.parcels(spark, SF, 1000.0, *more), policies.counted(fx.deliv(spark, SF, 1000.0), *more)
+        assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
