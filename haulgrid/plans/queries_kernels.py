@@ -175,8 +175,7 @@ def policy_dws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def policy_dcs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, plans = _kept_plans(spark, sf_dir)
-    return policies.daily(plans, policies.day_loads(d), designs=("DCS",)).drop("sec")
+    return policies.planned_daily(fx.parcels(spark, sf_dir, SIDE), SIDE, TARGET, designs=("DCS",)).drop("sec")
 
 
 @query()

@@ -266,3 +266,30 @@ def test_parcels_of_line_items_are_those_counted(spark):
     for more in ((), ("cid",)):
         got, want = fx.parcels(spark, SF, 1000.0, *more), policies.counted(fx.deliv(spark, SF, 1000.0), *more)
         assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+
+
+def _made_by(query):
+    """Scans and joins in a query's plan."""
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    return plan.count("FileScan"), plan.count("Join") + plan.count("CoGroup")
+
+
+def _counted_days(spark):
+    """Units of two depots (one a scenario): B has a gap in March, so it has a plan of January only; a unit of A comes in February."""
+    rows = [(depot, f"2025-{m:02d}-{day:02d}", m, day % 5, f"{q}_{-q % 3}", 3 + (q * day + m) % 7)
+            for depot in ("A", "factor=0.5,seed=7,engine=mcf|B") for m in (1, 2, 3, 4) if depot == "A" or m != 3
+            for day in (3, 4, 12, 13) for q in range(9 if depot != "A" or m > 1 else 8)]
+    return spark.createDataFrame(rows, "depot string, date string, m int, dow int, bu string, n int").selectExpr("depot", "cast(date AS date) AS date", "m", "dow", "bu", "n").cache()
+
+
+def test_plans_and_days_of_one_kernel_are_those_of_the_joins(spark):
+    d = _counted_days(spark)
+    plans = policies.fix_plans(policies.units_for_plan(d, 250.0, 10.0)).cache()
+    assert {r.train for r in plans.filter("depot LIKE '%B'").collect()} == {1} and not plans.filter("NOT trained").isEmpty()
+    assert sorted(policies.planned(d, 250.0, 10.0).drop("sec").collect()) == sorted(plans.drop("sec").collect())
+    one, two = policies.planned_daily(d, 250.0, 10.0).drop("sec"), policies.daily(plans, policies.day_loads(d)).drop("sec")
+    assert one.schema == two.schema and sorted(one.collect()) == sorted(two.collect())
+
+
+def test_policy_dcs_scans_once_and_joins_nothing(spark):
+    assert _made_by(QUERIES["policy_dcs"](spark, SF)) == (1, 0)
