@@ -169,8 +169,7 @@ def plan_age_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def policy_dws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, plans = _kept_plans(spark, sf_dir)
-    return policies.daily(plans, policies.day_loads(d), designs=("DWS",)).drop("sec")
+    return policies.planned_daily(fx.parcels(spark, sf_dir, SIDE), SIDE, TARGET, designs=("DWS",)).drop("sec")
 
 
 @query()

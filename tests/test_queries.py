@@ -293,3 +293,7 @@ def test_plans_and_days_of_one_kernel_are_those_of_the_joins(spark):
 
 def test_policy_dcs_scans_once_and_joins_nothing(spark):
     assert _made_by(QUERIES["policy_dcs"](spark, SF)) == (1, 0)
+
+
+def test_policy_dws_scans_once_and_joins_nothing(spark):
+    assert _made_by(QUERIES["policy_dws"](spark, SF)) == (1, 0)
