@@ -181,7 +181,8 @@ def policy_dcs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def policy_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds of each solver call, with its size; of the rebalancing also status, fallback and
     the certificate that a unit above the upper bound makes the day infeasible."""
-    d, plans = _kept_plans(spark, sf_dir)
+    d = _days(spark, sf_dir)
+    plans = cut(policies.planned(d, SIDE, TARGET))
     loads = policies.day_loads(d)
     fix = plans.groupBy("depot", "train").agg(F.max("sec").alias("sec"), F.count(F.lit(1)).alias("n"), F.max("n_districts").alias("n_districts")).select(
         "depot", "train", F.lit(None).cast("date").alias("date"), F.lit("FIX").alias("step"), "sec", "n", "n_districts")

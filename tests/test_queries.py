@@ -297,3 +297,11 @@ def test_policy_dcs_scans_once_and_joins_nothing(spark):
 
 def test_policy_dws_scans_once_and_joins_nothing(spark):
     assert _made_by(QUERIES["policy_dws"](spark, SF)) == (1, 0)
+
+
+def test_policy_timing_joins_nothing_for_its_plans(spark, monkeypatch):
+    def joined(*_):
+        raise AssertionError("units by joins")
+
+    monkeypatch.setattr(policies, "units_for_plan", joined)
+    assert QUERIES["policy_timing"](spark, SF).columns[:4] == ["depot", "train", "date", "step"]
