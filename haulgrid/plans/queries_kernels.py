@@ -57,7 +57,10 @@ def policy_fix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fix_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Units unseen in training, at their nearest centre."""
-    return _plans(spark, sf_dir)[1].filter("NOT trained").select("depot", "train", "bu", "k")
+    def unseen(key: tuple, plan: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
+        return plan.loc[~plan["trained"].astype(bool), ["depot", "train", "bu", "k"]]
+
+    return policies.planned(fx.parcels(spark, sf_dir, SIDE), SIDE, TARGET, unseen, "depot string, train int, bu string, k int")
 
 
 @query()

@@ -305,3 +305,12 @@ def test_policy_timing_joins_nothing_for_its_plans(spark, monkeypatch):
 
     monkeypatch.setattr(policies, "units_for_plan", joined)
     assert QUERIES["policy_timing"](spark, SF).columns[:4] == ["depot", "train", "date", "step"]
+
+
+def test_fix_labels_are_the_unseen_units_of_the_plans(spark):
+    from haulgrid.plans.queries_kernels import _plans
+
+    got = QUERIES["fix_labels"](spark, SF)
+    assert _made_by(got) == (1, 0)
+    want = _plans(spark, SF)[1].filter("NOT trained").select("depot", "train", "bu", "k")
+    assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect()) != []
