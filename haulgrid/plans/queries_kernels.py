@@ -7,7 +7,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haulgrid.functions import geo
@@ -121,18 +121,21 @@ def repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def hungarian_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Districts of a month matched to those of the month before by their centres."""
-    plans = policies.plan_centers(_kept_plans(spark, sf_dir)[1])
-    now = plans.groupBy("depot", "train").agg(F.sort_array(F.collect_list(F.struct("k", "cx", "cy"))).alias("now"))
-    old = now.select("depot", (F.col("train") + 1).alias("train"), F.col("now").alias("old"))
+    def places(key: tuple, plan: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"depot": key[0], "train": key[1], "now": [c for c in plan["centers"] if c is not None]})
+
+    now = policies.planned(fx.parcels(spark, sf_dir, SIDE), SIDE, TARGET, places, "depot string, train int, now array<array<double>>")
+    month = Window.partitionBy("depot").orderBy("train")
+    both = now.withColumns({"old": F.lag("now").over(month), "gap": F.col("train") - F.lag("train").over(month)}).filter("gap = 1")
 
     def match(frames):
         for f in frames:
             for r in f.itertuples():
-                a, b = (np.array([[c["cx"], c["cy"]] for c in x]) for x in (r.now, r.old))
-                to = A.match_places(a, b)
-                yield pd.DataFrame({"depot": r.depot, "train": r.train, "k": [c["k"] for c in r.now], "k_before": to})
+                to = A.match_places(np.array(r.now.tolist()), np.array(r.old.tolist()))
+                yield pd.DataFrame({"depot": r.depot, "train": r.train, "k": np.arange(len(to)), "k_before": to})
 
-    return now.join(old, ["depot", "train"]).mapInPandas(match, "depot string, train int, k int, k_before int")
+    rows = deal(both.select("depot", "train", "now", "old"), "depot", "train")
+    return rows.mapInPandas(match, "depot string, train int, k int, k_before int")
 
 
 @query()

@@ -314,3 +314,19 @@ def test_fix_labels_are_the_unseen_units_of_the_plans(spark):
     assert _made_by(got) == (1, 0)
     want = _plans(spark, SF)[1].filter("NOT trained").select("depot", "train", "bu", "k")
     assert got.schema == want.schema and sorted(got.collect()) == sorted(want.collect()) != []
+
+
+def test_hungarian_align_matches_each_month_to_the_one_before(spark):
+    import numpy as np
+
+    from haulgrid.operators.kernels import assignment
+    from haulgrid.plans.queries_kernels import _plans
+
+    got = QUERIES["hungarian_align"](spark, SF)
+    assert _made_by(got) == (1, 0)
+    at = {}
+    for r in sorted(policies.plan_centers(_plans(spark, SF)[1]).collect()):
+        at.setdefault((r.depot, r.train), []).append((r.cx, r.cy))
+    want = [(depot, m, k, int(before)) for (depot, m), c in at.items() if (depot, m - 1) in at
+            for k, before in enumerate(assignment.match_places(np.array(c), np.array(at[depot, m - 1])))]
+    assert sorted(map(tuple, got.collect())) == sorted(want) != []
