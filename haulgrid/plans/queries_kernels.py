@@ -201,8 +201,9 @@ def policy_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fix.unionByName(day.join(sizes, ["depot", "train"])).unionByName(pen, allowMissingColumns=True).withColumn("nvar", F.col("n") * F.col("n_districts"))
 
 
-def _measured(d: DataFrame, side: float, target: float, **how) -> DataFrame:
-    a = cut(policies.rolling(d, side, target, **how))  # read by every measure
+def _measured(d: DataFrame, side: float, target: float, own: DataFrame | None = None, **how) -> DataFrame:
+    """``own``: the parcels counted by courier, where they are at hand."""
+    a = cut(policies.rolling(d if own is None else own, side, target, **how))  # read by every measure
     return policies.rolling_metrics(a).join(policies.spread_and_tours(d, a), ["depot", "date", "design"], "left")
 
 
@@ -228,13 +229,14 @@ def _sensitivity(spark, sf_dir, sides=(1000.0, 1500.0), factors=(1.0, 1.5), seed
     base, out = every[0], None
     for side in sides:
         settings = every if full else [x for x in every if sum(a != b for a, b in zip(x, base, strict=True)) <= (side == sides[0])]
-        d = fx.deliv(spark, sf_dir, side)
-        every_day = cut(policies.scenarios(cut(policies.counted(d)), settings))
-        plans = cut(policies.fix_plans(policies.units_for_plan(every_day, side, TARGET)))
+        own = cut(fx.parcels(spark, sf_dir, side, "cid"))
+        every_day = cut(policies.scenarios(policies.counted(own), settings))
+        plans = cut(policies.planned(every_day, side, TARGET, tasks=8))
         load = plans.filter("trained").groupBy("depot", "train", "k").agg(F.sum("w").alias("load"))
         days = policies.day_loads(every_day).select("depot", "train", "date").distinct()
         balance = days.join(districts.plan_balance(load, ("depot", "train")), ["depot", "train"])
-        part = _measured(d, side, TARGET, lambdas=(1000.0,), plans=plans, days=every_day, settings=settings).join(balance, ["depot", "date"])
+        part = _measured(fx.deliv(spark, sf_dir, side), side, TARGET, own, lambdas=(1000.0,), plans=plans, days=every_day, settings=settings)
+        part = policies.couriers_everywhere(part, settings).join(balance, ["depot", "date"])
         part = part.select(F.lit(side).alias("side"), *policies.scenario_columns(), *[c for c in part.columns if c != "depot"])
         out = part if out is None else out.unionByName(part)
     return out

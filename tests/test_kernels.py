@@ -390,3 +390,45 @@ def test_a_day_that_is_infeasible_at_sight_remembers_its_relaxation():
     assert log["status"] == "infeasible" and log["fallback"] and memory.tree is tree is not None
     alone = A.assign_milp(p, w[::-1], centers, 1 / 7, home, 250.0)[0]
     assert (again == alone).all() and len(lab) == 4
+
+
+def test_days_that_whole_units_cannot_fill_are_told_without_a_search():
+    rng = np.random.default_rng(5)
+    p, centers = rng.random((72, 2)) * 10_000, rng.random((42, 2)) * 10_000
+    w = np.r_[np.full(46, 41.0), np.full(26, 20.0)]  # 46 units of more than half the upper bound, 42 districts
+    lab, log = A.assign_milp(p, w, centers, 1 / 7, A.nearest(p, centers), 1000.0, time_limit=1.0)
+    assert log["status"] == "infeasible" and log["fallback"] and len(lab) == 72
+
+
+def test_certificates_never_deny_an_assignment_that_exists():
+    from itertools import product
+
+    rng, told = np.random.default_rng(0), {"counts": 0, "patterns": 0}
+    for _ in range(300):
+        n, k, eps = int(rng.integers(1, 7)), int(rng.integers(1, 4)), float(rng.choice([1 / 7, 0.05, 0.3]))
+        w = rng.integers(0, 20, n).astype(float)
+        lo, hi = A._whole_bounds(w, k, eps)
+        if not 0 < lo <= hi:
+            continue
+        loads = [np.bincount(x, weights=w, minlength=k) for x in product(range(k), repeat=n)]
+        fits = any(x.min() >= lo and x.max() <= hi for x in loads)
+        counts, patterns = A.no_room(w, k, eps), A._no_parts(w, k, int(lo), int(hi))
+        assert not (fits and (counts or patterns))
+        told["counts"] += counts
+        told["patterns"] += patterns and not counts
+    assert told["counts"] > 20 and told["patterns"] > 5
+
+
+def test_greedy_takes_pairs_by_distance():
+    rng = np.random.default_rng(2)
+    for n, k in ((30, 7), (5, 9), (40, 40)):
+        p, c, w = rng.random((n, 2)), rng.random((k, 2)), rng.integers(1, 9, n).astype(float)
+        room, want, d = np.full(k, w.sum() / k * 1.05), np.full(n, -1), A.distances(p, c)
+        for flat in np.argsort(d, axis=None, kind="stable"):
+            i, j = divmod(int(flat), k)
+            if want[i] < 0 and w[i] <= room[j]:
+                want[i], room[j] = j, room[j] - w[i]
+        for i in np.flatnonzero(want < 0):
+            want[i] = room.argmax()
+            room[want[i]] -= w[i]
+        assert (A.assign_greedy(p, w, c) == want).all()

@@ -106,6 +106,21 @@ def test_sensitivity_has_test_days_of_all_policies(spark):
     assert got.filter("date IS NULL OR inband IS NULL").isEmpty()
 
 
+def test_couriers_are_counted_once_and_are_the_same_in_every_setting(spark):
+    from haulgrid.operators import policies
+    from haulgrid.plans.queries_kernels import _sensitivity
+    from haulgrid.sources import fixtures as fx
+
+    settings = [(1.0, 1, "wvor"), (1.0, 2, "wvor")]
+    own = fx.parcels(spark, SF, 1500.0, "cid").cache()
+    rows = policies.rolling(own, 1500.0, 40.0, days=policies.scenarios(policies.counted(own), settings), settings=settings, lambdas=(1000.0,))
+    assert rows.filter("design = 'OPR'").count() == policies.couriers(own).count()
+    got = _sensitivity(spark, SF, sides=(1500.0,), factors=(1.0,), seeds=(1, 2), engines=("wvor",), full=True).filter("design = 'OPR'").drop("plan_maxdev").cache()
+    measures = [c for c in got.columns if c not in ("seed",) and not c.startswith("plan_")]
+    one, two = ({tuple(r) for r in got.filter(f"seed = {s}").select(*measures).collect()} for s in (1, 2))
+    assert one and one == two
+
+
 def test_timing_has_the_rebalancing(spark):
     got = QUERIES["policy_timing"](spark, SF).cache()
     pen = got.filter("step LIKE 'PEN%'")
